@@ -19,7 +19,7 @@ from .common import table
 
 LANES = 8
 #: Odd multipliers that pick the bit of each lane.
-SALTS = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
+SALTS = (0x47B6137B, 0x44974D91, 0x0824AD5B, 0x22B7289D, 0x705495C7, 0x2DF1424B, 0x1EFC4947, 0x5C6BFB31)
 
 #: The rules of the query: key and action.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -41,8 +41,8 @@ def _block(key: Column, n_blocks: int) -> Column:
 
 def _lane_bits(key: Column) -> list[Column]:
     """The bit of each lane, from a second hash of the key."""
-    h = F.xxhash64(key, F.lit("lanes")).bitwiseAND(F.lit(0xFFFFFFFF))
-    return [F.shiftleft(F.lit(1).cast("long"), F.shiftright((h * F.lit(s)).bitwiseAND(F.lit(0xFFFFFFFF)), 27).cast("int")) for s in SALTS]
+    h = F.xxhash64(key, F.lit("lanes")).bitwiseAND(F.lit(0x7FFFFFFF))
+    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright((h * F.lit(s)).bitwiseAND(F.lit(0x7FFFFFFF)), 26).cast("int")) for s in SALTS]
 
 
 def bloom_blocks(listed: DataFrame, n_blocks: int) -> DataFrame:
