@@ -1,66 +1,84 @@
-"""Ids of whole texts by a tokenizer of the tokenizers library, through a cache of chunks.
+"""Ids of whole texts by a tokenizer of the tokenizers library, through a cache of pieces.
 
-Both vocabularies cut a text before each space, and never join what stands on both sides of a
-single space; so the ids of a text are those of its chunks between spaces, in order, where each
-chunk after the first has its space in front.  Chunks repeat far more often than texts, and most
-lookups end in the cache.  A text where this could differ from encoding it whole (a chunk that is
-empty, or begins or ends with white space) is encoded whole.
+A tokenizer first cuts a text into pieces by its published pattern and then merges inside each
+piece, so the ids of a text are those of its pieces in order.  Pieces repeat far more often than
+texts: texts of plain letters are cut here by the same pattern, and only pieces that are new go
+through the library.  Texts with other characters, or with what may be a special token, are
+encoded whole by the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import unicodedata
+import re
 
 import numpy as np
 
-MAX_CHUNK = 64  # characters of a cached chunk
-MAX_CACHE = 1 << 18  # chunks; the cache starts afresh beyond that
+MAX_CACHE = 1 << 19  # pieces; the cache starts afresh beyond that
+JOINED = 2048  # new words that are encoded as one string
+SEPARATOR = "|"  # between them: it is cut from letters on both sides
+
+#: Letters of the Latin blocks up to U+024F that normalization and lower case keep one by one.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+SPACE = r"\t-\r "
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+OTHER = re.compile(rf"[^\x00-\x7f{LETTERS}]")
+#: The published patterns of the two kinds of vocabulary, for such texts.
+BYTE_PIECE = re.compile(rf"{CONTRACTIONS}| ?[{LETTERS}]+| ?[0-9]+| ?[^{SPACE}{LETTERS}0-9]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+WORD_PIECE = re.compile(rf"{CONTRACTIONS}|[{LETTERS}]+|[0-9]|[^{SPACE}{LETTERS}0-9]+")
 
 
 class ChunkEncoder:
-    """ids(text): little-endian unsigned 32-bit ids, without special tokens of a template."""
+    """batch(texts): little-endian unsigned 32-bit ids of each, without the special tokens of a template."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first: dict[str, bytes | None] = {}
-        self.rest: dict[str, bytes | None] = {}
+        kind = json.loads(self.tokenizer.to_str())
+        self.lower = (kind.get("normalizer") or {}).get("type") == "Sequence"
+        pre = kind["pre_tokenizer"]
+        known = pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and kind["normalizer"] is None or self.lower and pre["type"] == "Sequence" and [p["type"] for p in pre["pretokenizers"]] == ["Split", "ByteLevel"]
+        self.cut = (WORD_PIECE if self.lower else BYTE_PIECE).findall if known else None
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in kind["added_tokens"]) or "(?!)")
+        self.cache: dict[str, bytes] = {}
+        (self.separator,) = self.tokenizer.encode("a" + SEPARATOR, add_special_tokens=False).ids[-1:]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _add(self, cache: dict[str, bytes | None], chunks: list[str], space: str) -> None:
-        if len(cache) > MAX_CACHE:
-            cache.clear()
-        good = []
-        for c in chunks:
-            # a mark that combines must not begin a chunk: normalization may reach across the space
-            if c and not c[0].isspace() and not c[-1].isspace() and not unicodedata.combining(c[0]):
-                good.append(c)
-            else:
-                cache[c] = None
-        for c, e in zip(good, self.tokenizer.encode_batch_fast([space + c for c in good], add_special_tokens=False), strict=True):
-            cache[c] = np.array(e.ids, "<u4").tobytes()
+    def _add(self, new: list[str]) -> None:
+        words, rest = [], []
+        for p in new:
+            (words if p.lstrip(" ").isalpha() else rest).append(p)
+        for p, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.cache[p] = np.array(got.ids, "<u4").tobytes()
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast([SEPARATOR.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            at = np.flatnonzero(ids == self.separator)
+            if len(at) != len(group) - 1:
+                raise ValueError("the separator is not a token of its own")
+            data, last = ids.tobytes(), 0
+            for word, end in zip(group, [*(at * 4).tolist(), len(data)], strict=True):
+                self.cache[word] = data[last:end]
+                last = end + 4
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; the chunks that are new are encoded together."""
-        split = [t.split(" ") for t in texts]
-        rest, first = self.rest, self.first
+        """The ids of each text; the pieces that are new are encoded together."""
+        cut: list[list[str] | None] = []
         new: set[str] = set()
-        for parts in split:
-            new.update(parts[1:])
-        for cache, found, space in ((rest, [c for c in new if c not in rest and len(c) <= MAX_CHUNK], " "), (first, [c for c in {p[0] for p in split} if c not in first and len(c) <= MAX_CHUNK], "")):
-            if found:
-                self._add(cache, found, space)
-                if cache is rest and len(rest) < len(new):  # it started afresh
-                    self._add(cache, [c for c in new if c not in rest and len(c) <= MAX_CHUNK], space)
-        out = []
-        for text, parts in zip(texts, split, strict=True):
-            try:
-                out.append(b"".join([first[parts[0]], *[rest[c] for c in parts[1:]]]))
-            except (KeyError, TypeError):  # a chunk too long to keep, or one that needs the whole text
-                out.append(self.whole(text))
-        return out
+        for t in texts:
+            if self.cut is None or OTHER.search(t) or self.special.search(t):
+                cut.append(None)
+            else:
+                cut.append(pieces := self.cut(t.lower() if self.lower else t))
+                new.update(pieces)
+        if len(self.cache) > MAX_CACHE:
+            self.cache.clear()
+        if found := list(new - self.cache.keys()):
+            self._add(found)
+        get = self.cache.__getitem__
+        return [self.whole(t) if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut, strict=True)]

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, rules, urls
+from . import html, packing, rules, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [rules.op2_divergence_rules, urls.op6_bloom_url_filter, html.op10_ratio_extraction]
+    ops = [rules.op2_divergence_rules, packing.op3_best_fit_packing, urls.op6_bloom_url_filter, html.op10_ratio_extraction]
     return {f.__name__: f for f in ops}
 
 
