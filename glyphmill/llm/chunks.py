@@ -15,7 +15,7 @@ import re
 
 import numpy as np
 
-MAX_CACHE = 1 << 19  # pieces; the cache starts afresh beyond that
+MAX_CACHE = 1 << 19  # pieces of a generation; there are two, and what is used goes from the old to the new
 JOINED = 2048  # new words that are encoded as one string
 SEPARATOR = "|"  # between them: it is cut from letters on both sides
 
@@ -44,6 +44,7 @@ class ChunkEncoder:
         self.cut = (WORD_PIECE if self.lower else BYTE_PIECE).findall if known else None
         self.special = re.compile("|".join(re.escape(t["content"]) for t in kind["added_tokens"]) or "(?!)")
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         (self.separator,) = self.tokenizer.encode("a" + SEPARATOR, add_special_tokens=False).ids[-1:]
 
     def whole(self, text: str) -> bytes:
@@ -77,8 +78,12 @@ class ChunkEncoder:
                 cut.append(pieces := self.cut(t.lower() if self.lower else t))
                 new.update(pieces)
         if len(self.cache) > MAX_CACHE:
-            self.cache.clear()
-        if found := list(new - self.cache.keys()):
-            self._add(found)
+            self.old, self.cache = self.cache, {}
+        found = new - self.cache.keys()
+        if again := found & self.old.keys():
+            self.cache.update({p: self.old[p] for p in again})
+            found -= again
+        if found:
+            self._add(list(found))
         get = self.cache.__getitem__
         return [self.whole(t) if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut, strict=True)]

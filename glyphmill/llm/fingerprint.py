@@ -90,13 +90,16 @@ def densify(values: Column) -> Column:
 
 
 def packed(values: Column) -> Column:
-    """array<bigint>: the low BITS bits of all values, 64 bits a word, the first value highest."""
+    """array<bigint>: the low BITS bits of all values, 64 bits a word, the first value highest.
+
+    Values are mixed with their bin first: a copied value then meets others by chance in each bin anew.
+    """
     n, low = 64 // BITS, F.lit((1 << BITS) - 1)
 
     def word(v: Column, w: Column) -> Column:
         return F.aggregate(F.slice(v, w * n + 1, F.lit(n)), F.lit(0).cast("bigint"), lambda acc, x: F.shiftleft(acc, BITS).bitwiseOR(x.bitwiseAND(low)))
 
-    return _let(values, lambda v: F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda w: word(v, w)))
+    return _let(F.transform(values, lambda x, i: F.xxhash64(x, i)), lambda v: F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda w: word(v, w)))
 
 
 def fingerprint(text: Column) -> Column:

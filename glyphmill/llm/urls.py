@@ -35,7 +35,7 @@ def canonical_parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def _block(key: Column, n_blocks: int) -> Column:
+def bloom_place(key: Column, n_blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n_blocks))
 
 
@@ -46,10 +46,18 @@ def _lane_bits(key: Column) -> list[Column]:
 
 
 def bloom_blocks(listed: DataFrame, n_blocks: int) -> DataFrame:
-    """block, l0 to l7: the blocks that have a key; at most n_blocks rows."""
+    """__block, __l0 to __l7: the blocks that have a key; at most n_blocks rows."""
     bits = _lane_bits(F.col("key"))
-    keyed = listed.where(F.col("key").isNotNull()).select(_block(F.col("key"), n_blocks).alias("block"), *[b.alias(f"b{i}") for i, b in enumerate(bits)])
-    return keyed.groupBy("block").agg(*[F.bit_or(f"b{i}").alias(f"l{i}") for i in range(LANES)])
+    keyed = listed.where(F.col("key").isNotNull()).select(bloom_place(F.col("key"), n_blocks).alias("__block"), *[b.alias(f"b{i}") for i, b in enumerate(bits)])
+    return keyed.groupBy("__block").agg(*[F.bit_or(f"b{i}").alias(f"__l{i}") for i in range(LANES)])
+
+
+def bloom_hit(key: Column) -> Column:
+    """Whether the block __l0 to __l7 has all bits of the key."""
+    hit = F.lit(True)
+    for i, bit in enumerate(_lane_bits(key)):
+        hit = hit & (F.col(f"__l{i}").bitwiseAND(bit) != 0)
+    return hit
 
 
 def blocks_for(n_keys: int, bits_a_key: int = 16, max_blocks: int = 1 << 20) -> int:
@@ -79,11 +87,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, key: str = "page_id", url:
     # repeated URLs are judged once, however many rows have them
     candidates = urls.groupBy("host", "path").agg(F.first(F.lit(0)).alias("__one")).select("host", "path", F.explode(keys).alias("__candidate"))
     # a broadcast of a proven bound: max_blocks rows of nine longs
-    probed = candidates.join(F.broadcast(bloom_blocks(listed, n_blocks)), _block(F.col("__candidate"), n_blocks) == F.col("block"))
-    hit = F.lit(True)
-    for i, bit in enumerate(_lane_bits(F.col("__candidate"))):
-        hit = hit & (F.col(f"l{i}").bitwiseAND(bit) != 0)
-    exact = probed.where(hit).select("host", "path", "__candidate").join(listed, F.col("__candidate") == F.col("key"))
+    probed = candidates.join(F.broadcast(bloom_blocks(listed, n_blocks)), bloom_place(F.col("__candidate"), n_blocks) == F.col("__block"))
+    exact = probed.where(bloom_hit(F.col("__candidate"))).select("host", "path", "__candidate").join(listed, F.col("__candidate") == F.col("key"))
     best = exact.groupBy("host", "path").agg(F.max(F.struct(F.col("is.rank").alias("rank"), F.length("key").alias("n"), F.col("is.action").alias("action"), F.col("key").alias("key"))).alias("best"))
     out = urls.join(best, ["host", "path"], "left")
     return out.select(F.col("__key").alias(key), "host", "path", F.col("best.key").alias("listed_key"), F.col("best.action").alias("action"), F.col("best.rank").alias("rank"))
