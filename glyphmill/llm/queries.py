@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, fingerprint, html, packing, rules, tokens, urls
+from . import dedup, fingerprint, html, packing, quality, rules, tokens, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [dedup.op1_dart_minhash, rules.op2_divergence_rules, packing.op3_best_fit_packing, urls.op6_bloom_url_filter, fingerprint.op8_oph_fingerprints, tokens.op9_token_files, html.op10_ratio_extraction]
+    ops = [dedup.op1_dart_minhash, rules.op2_divergence_rules, packing.op3_best_fit_packing, quality.op5_neighbour_votes, urls.op6_bloom_url_filter, fingerprint.op8_oph_fingerprints, tokens.op9_token_files, html.op10_ratio_extraction]
     return {f.__name__: f for f in ops}
 
 
