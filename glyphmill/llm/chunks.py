@@ -9,13 +9,14 @@ encoded whole by the library.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
 
 import numpy as np
 
-MAX_CACHE = 1 << 19  # pieces of a generation; there are two, and what is used goes from the old to the new
+MAX_CACHE = 3 << 17  # pieces of a generation; there are two, and what is used goes from the old to the new
 JOINED = 2048  # new words that are encoded as one string
 SEPARATOR = "|"  # between them: it is cut from letters on both sides
 
@@ -87,3 +88,9 @@ class ChunkEncoder:
             self._add(list(found))
         get = self.cache.__getitem__
         return [self.whole(t) if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut, strict=True)]
+
+
+@functools.cache
+def encoder(path: str) -> ChunkEncoder:
+    """The encoder of this worker: its cache serves all tasks that the worker runs."""
+    return ChunkEncoder(path)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .chunks import ChunkEncoder
+from .chunks import encoder
 from .common import table, written
 
 SIZE = 1024
@@ -121,14 +121,14 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
     schema = pa.schema(names + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer)
+        encode_all = encoder(tokenizer).batch
         end, part = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 columns: list[list] = [[] for _ in schema]
-                for doc_id, data in zip(batch.column(0).to_pylist(), encoder.batch([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                for doc_id, data in zip(batch.column(0).to_pylist(), encode_all([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                     data += end  # noqa: PLW2901
                     n = len(data) // 4
                     cut = n % size or size

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .chunks import ChunkEncoder
+from .chunks import encoder
 from .common import bucket_of, key_bounds, mix64, parallelism, scratch, table, written
 
 MAGIC = b"GMIDS\x00\x01\x00"
@@ -151,12 +151,12 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, width: int = 2
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer)
+        encode_all = encoder(tokenizer).batch
         end = np.array([end_id], f"<u{width}").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                data = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() + end for x in encoder.batch([t or "" for t in batch.column(1).to_pylist()])]
+                data = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() + end for x in encode_all([t or "" for t in batch.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], schema=schema)
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, ids binary")
