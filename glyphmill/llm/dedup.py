@@ -227,6 +227,66 @@ def verified(pairs: DataFrame, sets: DataFrame, options: DedupOptions) -> DataFr
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
 
+# --- members of a bucket that its hub does not link ---
+
+LONG = 512  # coordinates of the signatures that they are compared by
+SLACK = 4.0  # standard errors below the similarity at which a pair is still verified (one in 30,000 lies lower)
+BLOCK = 256  # members that are compared with as many at once
+
+
+def long_signatures(sets: DataFrame, options: DedupOptions) -> DataFrame:
+    """node, sig binary: LONG coordinates of a byte each."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = []
+        for data in batch.column("set").to_pylist():
+            elements, weights = _unpacked(data, options)
+            made.append((dart_minhash(mix64(elements.astype(np.uint64) + np.uint64(1)), weights.astype(np.float64), LONG) >> np.uint64(32)).astype(np.uint8).tobytes())
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], names=["node", "sig"])
+
+    return map_batches(sets.select("node", "set"), each, "node binary, sig binary")
+
+
+def close_pairs(rows: DataFrame, options: DedupOptions) -> DataFrame:
+    """a, b of (key, n, node, size, root, sig, keys): members of one bucket but different components whose signatures are close.
+
+    A pair is looked at in the bucket of the first band that it shares, and in no other.
+
+    A bucket is cut into blocks, and each two blocks meet in a task of their own, which gives
+    only the pairs that are close: no task holds more than two blocks, whatever the bucket.
+    """
+    chance = 1 / 256
+    least = options.similarity - SLACK * math.sqrt(options.similarity * (1 - options.similarity) / LONG)
+    equal = math.floor(LONG * (least + (1 - least) * chance))
+
+    def run(group: pa.Table) -> pa.Table:
+        nodes, roots = group.column("node").to_pylist(), np.array(group.column("root").to_pylist(), object)
+        own, first = group.column("block").to_numpy(), group.column("low").to_numpy()
+        sizes = group.column("size").to_numpy()
+        keys = np.array(group.column("keys").to_pylist(), np.int64)
+        band = int(np.flatnonzero(keys[0] == group.column("key")[0].as_py())[0])
+        sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(nodes), LONG)
+        one = (own[0] == first[0]) and (own == own[0]).all() and group.column("high")[0].as_py() == first[0]
+        left = np.flatnonzero(own == first)
+        right = left if one else np.flatnonzero(own != first)
+        found_a, found_b = [], []
+        for n, i in enumerate(left):
+            others = right[n + 1 :] if one else right
+            fit = np.minimum(sizes[others], sizes[i]) >= options.similarity * np.maximum(sizes[others], sizes[i])
+            others = others[fit & (roots[others] != roots[i])]
+            others = others[(keys[others, : band + 1] == keys[i, : band + 1]).argmax(axis=1) == band]
+            for j in others[np.count_nonzero(sigs[others] == sigs[i], axis=1) >= equal]:
+                found_a.append(nodes[i])
+                found_b.append(nodes[j])
+        return pa.table({"a": pa.array(found_a, pa.binary()), "b": pa.array(found_b, pa.binary())})
+
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    cut = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    return met.groupBy("key", "low", "high").applyInArrow(run, "a binary, b binary")
+
+
 # --- components ---
 
 
@@ -283,16 +343,15 @@ def near_duplicates(docs: DataFrame, options: DedupOptions = DedupOptions()) ->
     sets = written(shingle_sets(docs, rows.select("node").distinct(), options), "sets")
     links = written(verified(pairs, sets, options), "verified")
     roots = components(links)
-    # members of a bucket that are still apart: all pairs of different components, but for those already compared
+    # members of a bucket that are still apart: all of them are compared, but for those in one component
     named = rows.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key")
+    apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key", "n")
     left = written(named.join(apart, "key"), "apart")
     if left.isEmpty():
         return roots
-    x = left.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
-    y = left.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-    fit = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * options.similarity
-    cross = x.join(y, (x["key"] == y["key"]) & (F.col("root_a") < F.col("root_b")) & fit).select("a", "b").distinct()
+    members = left.select("node").distinct()
+    described = long_signatures(sets.join(members, "node"), options).join(nodes.select("node", "keys"), "node")
+    cross = close_pairs(left.join(described, "node"), options)
     tested = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = written(cross.join(tested, ["a", "b"], "left_anti"), "rest")
     more = written(verified(rest, sets, options), "verified")
