@@ -10,7 +10,7 @@ from ..core.decoders import decoder
 from ..core.normalizers import normalizer
 from ..core.postprocess import post_processor
 from ..core.pretokenizers import GPT2, pre_tokenizer
-from . import wordlevel
+from . import toys, wordlevel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -298,3 +298,200 @@ def byte_level_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["byte_level_round_trip"] = byte_level_round_trip
 ORACLES["byte_level_round_trip"] = f"SELECT doc_id, text FROM {TEXTS}"
+
+
+# --- the whole engine, in vectorized Python ---
+
+
+def _functions(spark: SparkSession, data: dict, config: dict | None = None):
+    from ..core.tokenizer import Tokenizer
+    from ..functions.columns import TokenizerFunctions
+
+    return TokenizerFunctions(spark, Tokenizer(data, config))
+
+
+def _digest(c: Column) -> Column:
+    return F.md5(F.encode(F.array_join(c.cast("array<string>"), ","), "UTF-8"))
+
+
+def _encoded(name: str, toy: str) -> None:
+    """Ids of all documents by a toy tokenizer, as a count and a digest."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = texts(spark, sf_dir).select("doc_id", _functions(spark, getattr(toys, toy)()).encode(F.col("text")).alias("ids"))
+        return made.select("doc_id", F.size("ids").cast("bigint").alias("n"), _digest(F.col("ids")).alias("digest"))
+
+    QUERIES[name] = query
+
+
+for name in ("word_piece", "bpe", "byte_bpe", "unigram"):
+    _encoded(f"model_{name}_encode", name)
+
+
+def model_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token strings of the scalar BPE."""
+    made = texts(spark, sf_dir).select("doc_id", _functions(spark, toys.bpe()).tokenize(F.col("text")).alias("t"))
+    return made.select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.encode(F.array_join("t", "\x01"), "UTF-8")).alias("digest"))
+
+
+def _bpe_sql() -> str:
+    """Each merge once, in rank order: equal to the lowest rank first for lists like that of the toy."""
+    low, high = "chr(2)", "chr(3)"
+    sql = f"regexp_replace(lower(text), '({NWS})', {low} || '\\1' || {high}, 'g')"
+    sql = f"regexp_replace({sql}, {low} || '[^{toys.LETTERS}]' || {high}, {low} || '<unk>' || {high}, 'g')"
+    for a, b in toys._merges():
+        sql = f"replace({sql}, {low} || '{a}' || {high} || {low} || '{b}' || {high}, {low} || '{a}{b}' || {high})"
+    return f"SELECT doc_id, len(t)::BIGINT AS n, md5(array_to_string(t, chr(1))) AS digest FROM (SELECT doc_id, regexp_extract_all({sql}, {low} || '([^' || {high} || ']+)' || {high}, 1) AS t FROM {TEXTS})"
+
+
+def encode_decode_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level ids of all documents back into text."""
+    f = _functions(spark, toys.byte_bpe())
+    return texts(spark, sf_dir).select("doc_id", f.decode(f.encode(F.col("text"))).alias("text"))
+
+
+def encode_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most 16 ids, special tokens included: how many, and the first and last of them."""
+    ids = _functions(spark, toys.word_piece()).encode(F.col("text"), max_length=16)
+    made = texts(spark, sf_dir).select("doc_id", ids.alias("ids"))
+    return made.select("doc_id", F.size("ids").cast("bigint").alias("n"), F.element_at("ids", 1).alias("first"), F.element_at("ids", -1).alias("last"))
+
+
+def encode_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets of word-level tokens, one row a token: byte ranges of the words."""
+    vocab = {"model": {"type": "WordLevel", "vocab": {"<unk>": 0, "the": 1}, "unk_token": "<unk>"}, "pre_tokenizer": {"type": "WhitespaceSplit"}}
+    made = texts(spark, sf_dir).select("doc_id", _functions(spark, vocab).encode_with_offsets(F.col("text")).alias("e"))
+    flat = made.select("doc_id", F.transform("e.offsets", lambda o: F.concat_ws("-", o["start"], o["end"])).alias("o"))
+    return flat.select("doc_id", F.size("o").cast("bigint").alias("n"), F.md5(F.encode(F.array_join("o", ","), "UTF-8")).alias("digest"))
+
+
+def encode_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark passage with its document of the same number: type ids by segment."""
+    both = table(spark, sf_dir, "benchmark").join(texts(spark, sf_dir).withColumnRenamed("text", "other"), F.col("item_id") == F.col("doc_id"))
+    made = both.select("item_id", _functions(spark, toys.word_piece()).encode_pair(F.col("text"), F.col("other")).alias("e"))
+    return made.select("item_id", F.size("e.ids").alias("n"), F.size(F.filter("e.type_ids", lambda t: t == 1)).alias("second"))
+
+
+def convert_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary there and back: ids of its tokens, tokens of its ids."""
+    f = _functions(spark, toys.word_piece())
+    v = f.vocabulary()
+    return v.select("id", "token", f.token_to_id(F.col("token")).alias("back"), f.id_to_token(F.col("id")).alias("forth")).where("id <> back OR token <> forth")
+
+
+def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.tables import conversations
+
+    return conversations(table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit(""))))
+
+
+def chat_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt of each conversation."""
+    from ..core.tokenizer import Tokenizer
+    from ..functions.tables import apply_chat_template
+
+    made = apply_chat_template(_chats(spark, sf_dir), Tokenizer(toys.byte_bpe(), {"chat_template": toys.CHAT}), add_generation_prompt=True)
+    return made.select("conv_id", "prompt")
+
+
+def chat_assistant_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many ids of each conversation there are, and how many the assistant wrote."""
+    from ..core.tokenizer import Tokenizer
+    from ..functions.tables import assistant_mask
+
+    made = assistant_mask(_chats(spark, sf_dir), Tokenizer(toys.byte_bpe(), {"chat_template": toys.CHAT}))
+    return made.select("conv_id", F.size("ids").alias("n"), F.size(F.filter("mask", lambda m: m)).alias("n_assistant"))
+
+
+def response_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns read by a response template."""
+    from ..functions.tables import parse_response
+
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return turns.select("conv_id", "turn", parse_response(F.col("text"), toys.RESPONSE).alias("message"))
+
+
+def stream_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each conversation turn, decoded as a stream: the text again."""
+    from ..core.tokenizer import Tokenizer
+    from ..streaming import batch_decode
+
+    tokenizer = Tokenizer(toys.byte_bpe())
+    f = _functions(spark, toys.byte_bpe())
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"), F.posexplode(f.encode(F.col("text"))).alias("seq", "token"))
+    return batch_decode(turns, tokenizer).select(F.col("key").alias("stream_id"), "text")
+
+
+def transcript_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.tables import basic_normalize
+
+    return texts(spark, sf_dir).select("doc_id", basic_normalize(F.col("text"), True).alias("normalized"))
+
+
+def transcript_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.tables import english_normalize
+
+    return texts(spark, sf_dir).where("true").join(table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id"), "doc_id", "left_semi").select("doc_id", english_normalize(F.col("text")).alias("normalized"))
+
+
+def norm_nfkd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("doc_id", _functions(spark, _with({"type": "NFKD"})).normalize(F.col("text")).alias("normalized"))
+
+
+def norm_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NFC of texts that were decomposed first."""
+    f = _functions(spark, _with({"type": "Sequence", "normalizers": [{"type": "NFD"}, {"type": "NFC"}]}))
+    return texts(spark, sf_dir).select("doc_id", f.normalize(F.col("text")).alias("normalized"))
+
+
+def norm_bert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without accents, in lower case."""
+    return texts(spark, sf_dir).select("doc_id", _functions(spark, _with({"type": "BertNormalizer"})).normalize(F.col("text")).alias("normalized"))
+
+
+def pre_unicode_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _functions(spark, _with(None, {"type": "UnicodeScripts"}))
+    return texts(spark, sf_dir).select("doc_id", F.size(f.pre_tokenize(F.col("text"))).alias("n_pieces"))
+
+
+def pre_merged_with_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts before each comma or period: what follows stays with it."""
+    f = _functions(spark, _with(None, {"type": "Split", "pattern": {"Regex": "[.,]"}, "behavior": "MergedWithNext"}))
+    made = texts(spark, sf_dir).select("doc_id", f.pre_tokenize(F.col("text")).alias("p"))
+    return made.select("doc_id", F.size("p").cast("bigint").alias("n_pieces"), F.md5(F.encode(F.array_join("p", "\x01"), "UTF-8")).alias("digest"))
+
+
+def pre_merged_with_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts after each comma or period: it stays with what comes before."""
+    f = _functions(spark, _with(None, {"type": "Split", "pattern": {"Regex": "[.,]"}, "behavior": "MergedWithPrevious"}))
+    made = texts(spark, sf_dir).select("doc_id", f.pre_tokenize(F.col("text")).alias("p"))
+    return made.select("doc_id", F.size("p").cast("bigint").alias("n_pieces"), F.md5(F.encode(F.array_join("p", "\x01"), "UTF-8")).alias("digest"))
+
+
+def _with(normalize: dict | None, pre: dict | None = None) -> dict:
+    return {"normalizer": normalize, "pre_tokenizer": pre, "model": {"type": "WordLevel", "vocab": {"<unk>": 0}, "unk_token": "<unk>"}}
+
+
+def added_tokens_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Added tokens found in texts: how many of each document."""
+    data = _with(None, {"type": "WhitespaceSplit"}) | {"added_tokens": [{"id": 7, "content": "tion", "special": True}, {"id": 8, "content": "th", "special": True}]}
+    made = texts(spark, sf_dir).select("doc_id", _functions(spark, data).encode(F.col("text")).alias("ids"))
+    return made.select("doc_id", F.size(F.filter("ids", lambda i: i == 7)).cast("bigint").alias("n_tion"), F.size(F.filter("ids", lambda i: i == 8)).cast("bigint").alias("n_th"))
+
+
+for f in (model_bpe_tokens, encode_decode_round_trip, encode_truncated, encode_offsets, encode_pairs, convert_tokens, chat_prompts, chat_assistant_mask, response_messages, stream_decoded, transcript_basic, transcript_english, norm_nfkd, norm_nfc, norm_bert, pre_unicode_scripts, pre_merged_with_next, pre_merged_with_previous, added_tokens_split):
+    QUERIES[f.__name__] = f
+ORACLES["model_bpe_tokens"] = _bpe_sql()
+ORACLES["encode_decode_round_trip"] = f"SELECT doc_id, text FROM {TEXTS}"
+ORACLES["encode_offsets"] = f"""WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '{NWS}+') AS w, regexp_extract_all(text, '{WS}+') AS s, CASE WHEN regexp_matches(text, '^{WS}') THEN 1 ELSE 0 END AS lead FROM {TEXTS}),
+ spans AS (SELECT doc_id, i, octet_length(encode(w[i])) AS n, coalesce(octet_length(encode(s[i - 1 + lead])), 0) AS gap FROM w, unnest(range(1, len(w) + 1)) AS t(i)),
+ ends AS (SELECT doc_id, i, n, sum(n + gap) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM spans),
+ made AS (SELECT doc_id, count(*)::BIGINT AS n, md5(string_agg((e - n)::BIGINT::VARCHAR || '-' || e::BIGINT::VARCHAR, ',' ORDER BY i)) AS digest FROM ends GROUP BY doc_id)
+ SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n, coalesce(digest, md5('')) AS digest FROM w LEFT JOIN made USING (doc_id)"""
+ORACLES["chat_prompts"] = "SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY turn) || '<|assistant|>' || chr(10) AS prompt FROM conversations GROUP BY conv_id"
+ORACLES["stream_decoded"] = "SELECT conv_id * 1000 + turn AS stream_id, text FROM conversations WHERE text <> ''"
+ORACLES["norm_nfc"] = f"SELECT doc_id, nfc_normalize(text) AS normalized FROM {TEXTS}"
+ORACLES["norm_bert"] = rf"SELECT doc_id, lower(strip_accents(regexp_replace(text, '\s', ' ', 'g'))) AS normalized FROM {TEXTS}"
+ORACLES["pre_merged_with_previous"] = f"SELECT doc_id, len(p)::BIGINT AS n_pieces, md5(array_to_string(p, chr(1))) AS digest FROM (SELECT doc_id, regexp_extract_all(text, '(?s)[^.,]+[.,]?|[.,]') AS p FROM {TEXTS})"
+ORACLES["pre_merged_with_next"] = f"SELECT doc_id, len(p)::BIGINT AS n_pieces, md5(array_to_string(p, chr(1))) AS digest FROM (SELECT doc_id, regexp_extract_all(text, '(?s)[.,]?[^.,]+|[.,]') AS p FROM {TEXTS})"
+ORACLES["added_tokens_split"] = f"SELECT doc_id, len(regexp_extract_all(text, 'tion'))::BIGINT AS n_tion, len(regexp_extract_all(replace(text, 'tion', '.'), 'th'))::BIGINT AS n_th FROM {TEXTS}"
