@@ -10,6 +10,7 @@ from ..core.decoders import decoder
 from ..core.normalizers import normalizer
 from ..core.postprocess import post_processor
 from ..core.pretokenizers import GPT2, pre_tokenizer
+from ..sources.texts import spread
 from . import toys, wordlevel
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 TEXTS = "(SELECT doc_id, coalesce(text, '') AS text FROM documents)"

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files are too few to fill half of them, as with one small file; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Parquet with only the columns that are needed."""
     df = spark.read.parquet(path)
