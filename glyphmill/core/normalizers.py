@@ -101,6 +101,8 @@ class Lowercase(Normalizer):
     native = True
 
     def apply(self, text: str, spans: Spans, offset: int) -> tuple[str, Spans]:
+        if spans is None and "Σ" not in text:
+            return text.lower(), None
         return map_scalars(text, spans, str.lower)  # scalar by scalar: no final sigma
 
     def column(self, c: Column) -> Column:
@@ -158,6 +160,8 @@ class Bert(Normalizer):
         return " " if c in WHITE_SPACE else c
 
     def apply(self, text: str, spans: Spans, offset: int) -> tuple[str, Spans]:
+        if spans is None:
+            return self._plain(text), None
         if self.clean:
             text, spans = map_scalars(text, spans, self._clean)
         if self.cjk:
@@ -169,6 +173,16 @@ class Bert(Normalizer):
             text, spans = map_scalars(text, spans, str.lower)
         return text, spans
 
+    def _plain(self, text: str) -> str:
+        """The same without offsets, where most texts have nothing to clean."""
+        if self.clean:
+            text = SPACE_ONE.sub(" ", DROPPED.sub("", text))
+        if self.cjk and not text.isascii():
+            text = IDEOGRAPH.sub(r" \g<0> ", text)
+        if self.accents and not text.isascii():
+            text = MN.sub("", unicodedata.normalize("NFD", text))
+        return LOWER.apply(text, None, 0)[0] if self.lower else text
+
     def column(self, c: Column) -> Column:
         if self.clean:
             c = F.regexp_replace(F.regexp_replace(c, r"[\p{Cc}\p{Cf}\p{Co}\x{FFFD}&&[^\t\n\r]]", ""), r"\p{IsWhite_Space}", " ")
@@ -177,6 +191,13 @@ class Bert(Normalizer):
         return Lowercase(self.config).column(c) if self.lower else c
 
 
+DROPPED = regex.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\p{Cf}\p{Co}\ufffd]")
+SPACE_ONE = regex.compile(r"\p{White_Space}")
+IDEOGRAPH = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in CJK) + "]")
+MN = regex.compile(r"\p{Mn}")
+LOWER = Lowercase({})
+
+
 class Precompiled(Normalizer):
     """A compiled table of SentencePiece: a double-array trie over UTF-8, then NUL-terminated replacements."""
 

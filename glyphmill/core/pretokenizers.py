@@ -39,6 +39,9 @@ class Piece:
         return Piece(self.text[a:b], self.spans and self.spans[a:b], self.first and a == 0, self.byte_level)
 
 
+Quick = tuple[Callable[[str, bool], list[str]], Callable[[str], list[Piece]]]
+
+
 def partition(text: str, matches: Iterable[tuple[int, int]]) -> list[tuple[int, int, bool]]:
     """Matches and the gaps between them, in order."""
     out, last = [], 0
@@ -92,6 +95,10 @@ class PreTokenizer:
     def split(self, piece: Piece) -> list[Piece]:
         return [piece.cut(a, b) for a, b in self.ranges(piece)]
 
+    def quick(self) -> Quick | None:
+        """Where offsets aren't wanted: cut(text, first) into strings, and rest(string) into its pieces, whatever stands around it."""
+        return lambda text, first: [text[a:b] for a, b in self.ranges(Piece(text, None, first))], lambda raw: [Piece(raw, None, False)]
+
     def column(self, c: Column) -> Column:
         raise TokenizerError("unsupportedComponent", f"{self.config.get('type')} has no native form")
 
@@ -108,6 +115,20 @@ class Sequence(PreTokenizer):
             pieces = [p for x in pieces for p in part.split(x) if p.text]
         return pieces
 
+    def quick(self) -> Quick | None:
+        first = self.parts[0].quick() if self.parts else None
+        if first is None or any(isinstance(p, Metaspace | Sequence) for p in self.parts[1:]):
+            return None
+        cut, inner = first
+
+        def rest(raw: str) -> list[Piece]:
+            pieces = inner(raw)
+            for part in self.parts[1:]:
+                pieces = [p for x in pieces for p in part.split(x) if p.text]
+            return pieces
+
+        return cut, rest
+
     def column(self, c: Column) -> Column:
         pieces = F.array(c)
         for part in self.parts:
@@ -115,27 +136,6 @@ class Sequence(PreTokenizer):
         return pieces
 
 
-class Bert(PreTokenizer):
-    native = True
-
-    def ranges(self, piece: Piece) -> list[tuple[int, int]]:
-        out, start = [], None
-        for i, c in enumerate(piece.text):
-            space, mark = c.isspace() and c not in "\x1c\x1d\x1e\x1f", is_punctuation(c)
-            if (space or mark) and start is not None:
-                out.append((start, i))
-                start = None
-            if mark:
-                out.append((i, i + 1))
-            elif not space and start is None:
-                start = i
-        return out if start is None else [*out, (start, len(piece.text))]
-
-    def column(self, c: Column) -> Column:
-        marks = r"\p{P}$+<=>^`|~"
-        return F.regexp_extract_all(c, F.lit(rf"[{marks}]|[^{marks}\p{{IsWhite_Space}}]+"), F.lit(0))
-
-
 class Matching(PreTokenizer):
     """Pieces are the matches of a pattern."""
 
@@ -146,6 +146,9 @@ class Matching(PreTokenizer):
     def ranges(self, piece: Piece) -> list[tuple[int, int]]:
         return [m.span() for m in self.pattern.finditer(piece.text)]
 
+    def quick(self) -> Quick | None:
+        return lambda text, first: self.pattern.findall(text), lambda raw: [Piece(raw, None, False)]
+
     def column(self, c: Column) -> Column:
         return F.regexp_extract_all(c, F.lit(self.java), F.lit(0))
 
@@ -160,6 +163,13 @@ class WhitespaceSplit(Matching):
     java = r"\P{IsWhite_Space}+"
 
 
+class Bert(Matching):
+    """White space goes, each punctuation mark stands alone."""
+
+    pattern = regex.compile(r"[\p{P}$+<=>^`|~]|[^\p{P}$+<=>^`|~\p{White_Space}]+")
+    java = r"[\p{P}$+<=>^`|~]|[^\p{P}$+<=>^`|~\p{IsWhite_Space}]+"
+
+
 class Delimited(PreTokenizer):
     """Cuts at matches by a delimiter behavior.  Subclasses give matches() and the Java pattern."""
 
@@ -257,6 +267,20 @@ class Metaspace(PreTokenizer):
         at = [m.span() for m in regex.finditer(regex.escape(self.by), text)] if self.by else []
         return [whole.cut(a, b) for a, b in behave(partition(text, at), "MergedWithNext")]
 
+    def quick(self) -> Quick | None:
+        if not self.cuts or not self.by:
+            return None
+        mark = regex.escape(self.by)
+        find = regex.compile(f"(?s)(?:{mark})?(?:(?!{mark}).)+|{mark}").findall
+
+        def cut(text: str, first: bool) -> list[str]:
+            text = text.replace(" ", self.by)
+            if (self.scheme == "always" or self.scheme == "first" and first) and not text.startswith(self.by):
+                text = self.by + text
+            return find(text)
+
+        return cut, lambda raw: [Piece(raw, None, False)]
+
     def column(self, c: Column) -> Column:
         c = F.replace(c, F.lit(" "), F.lit(self.by))
         if self.scheme != "never":  # natively a text is one section, at the start
@@ -280,6 +304,11 @@ class ByteLevel(PreTokenizer):
         pieces = [piece.cut(*m.span()) for m in compiled(GPT2).finditer(piece.text)] if self.cuts else [piece]
         return [Piece(to_alphabet(p.text), alphabet_spans(p.text, p.spans), p.first, True) for p in pieces]
 
+    def quick(self) -> Quick | None:
+        if self.prefix or not self.cuts:
+            return None
+        return lambda text, first: compiled(GPT2).findall(text), lambda raw: [Piece(to_alphabet(raw), None, False, True)]
+
     def column(self, c: Column) -> Column:
         c = F.when(c.startswith(" "), c).otherwise(F.concat(F.lit(" "), c)) if self.prefix else c
         pieces = F.regexp_extract_all(c, F.lit(java_pattern(GPT2)), F.lit(0)) if self.cuts else F.array(c)

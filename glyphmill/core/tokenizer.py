@@ -28,6 +28,9 @@ CLASS_DEFAULTS = {"RobertaTokenizer": ROBERTA, "XLMRobertaTokenizer": ROBERTA, "
 LLAMA_CLASSES = ("LlamaTokenizer", "CodeLlamaTokenizer", "GemmaTokenizer")
 
 
+MEMO = 1 << 17  # strings with their ids that a worker remembers
+
+
 @dataclass(frozen=True)
 class Encoding:
     """ids, and where asked for the source ranges in bytes (None for inserted tokens) and the type ids."""
@@ -110,6 +113,8 @@ class Tokenizer:
             forced = boolean(config.get("clean_up_tokenization_spaces_for_bpe_even_though_it_will_corrupt_output"))
             cleans = cleans and (forced if forced is not None else name in ("LukeTokenizer", "MLukeTokenizer"))
         self.cleans = cleans
+        self.quick = None if self.late_splitter.tokens else self.pre_tokenizer.quick()
+        self.memo: dict[str, tuple[int, ...]] = {}
         self.data = data
 
     def __reduce__(self):
@@ -204,7 +209,33 @@ class Tokenizer:
             return to_alphabet(piece.text), wide
         return piece.text, piece.spans
 
+    def _quick_ids(self, text: str) -> list[int]:
+        """Ids of a text by the strings that its sections are cut into, each of which is remembered with its ids."""
+        cut, rest = self.quick
+        memo, out = self.memo, []
+        for start, end, token in self.splitter.split(text) if self.splitter.pattern else ((0, len(text), None),):
+            if token is not None:
+                out.append(token)
+                continue
+            section = text if end - start == len(text) else text[start:end]
+            section = self.normalizer.apply(section, None, 0 if start == 0 else 1)[0]
+            first = len(out)
+            for raw in cut(section, start == 0) if section else ():
+                ids = memo.get(raw)
+                if ids is None:
+                    ids = tuple(i for p in rest(raw) if p.text for i in self.model.ids(self._model_text(p)[0]))
+                    if len(memo) > MEMO:
+                        memo.clear()
+                    memo[raw] = ids
+                out += ids
+            if self.fuses:
+                unk = self.model.unk_id
+                out[first:] = [i for k, i in enumerate(out[first:]) if i != unk or not k or out[first + k - 1] != unk]
+        return out
+
     def _ids(self, text: str) -> list[int]:
+        if self.quick is not None:
+            return self._quick_ids(text)
         out: list[int] = []
         for part in self.pieces(text):
             if isinstance(part, tuple):
