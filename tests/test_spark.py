@@ -65,3 +65,14 @@ def test_stream_parse(spark, tmp_path):
     df = spark.createDataFrame([(1, i, p, i // 2) for i, p in enumerate(parts)] + [(1, 4, None, 1)], "stream_id int, seq long, text string, batch int")
     events = [json.loads(r["event"]) for r in sorted(run_stream(spark, lambda s: stream_parse(s, template), df, tmp_path, 2), key=lambda r: r["seq"])]
     assert events[-1] == ["message", {"thinking": "a b", "content": "answer"}] and ["open", "thinking"] in events
+
+
+def test_tiers_and_rows(spark):
+    from glyphmill.operators import NATIVE, RELATIONAL, VECTORIZED, tiers
+
+    words = Tokenizer({"normalizer": {"type": "Lowercase"}, "pre_tokenizer": {"type": "Whitespace"}, "model": {"type": "WordLevel", "vocab": {"<unk>": 0, "the": 1}, "unk_token": "<unk>"}})
+    assert tiers(words) == {"normalize": NATIVE, "pre_tokenize": NATIVE, "encode": RELATIONAL, "post_process": NATIVE, "decode": VECTORIZED}
+    assert tiers(Tokenizer(toys.unigram()))["normalize"] == VECTORIZED
+    rows = register(spark, words, "w_").encode_rows(spark.createDataFrame([(1, "The end"), (2, ""), (3, None)], "k int, t string"), "k", "t")
+    assert sorted(map(tuple, rows.collect())) == [(1, 0, 1), (1, 1, 0)]
+    assert "Python" not in rows._jdf.queryExecution().toString()
