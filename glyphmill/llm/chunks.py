@@ -16,7 +16,7 @@ import re
 
 import numpy as np
 
-MAX_CACHE = 3 << 17  # pieces of a generation; there are two, and what is used goes from the old to the new
+MAX_CACHE = 1 << 18  # pieces of a generation; there are two, and what is used goes from the old to the new
 JOINED = 2048  # new words that are encoded as one string
 SEPARATOR = "|"  # between them: it is cut from letters on both sides
 

@@ -21,16 +21,15 @@ from __future__ import annotations
 
 import functools
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import SPACES, WORD, map_batches, mix64, table, unit, words_of, written
+from .common import SPACES, WORD, table, lean, map_batches, mix64, unit, words_of, written
 
 
 @dataclass(frozen=True)
@@ -224,7 +223,7 @@ def verified(pairs: DataFrame, sets: DataFrame, options: DedupOptions) -> DataFr
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(lean(run), "a binary, b binary")
 
 
 # --- members of a bucket that its hub does not link ---

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import map_batches, table
+from .common import table, map_batches
 
 #: Elements of HTML by kind.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())

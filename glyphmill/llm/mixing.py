@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import WORD, bucket_of, key_bounds, mix64, parallelism, table, written
+from .common import WORD, bucket_of, table, key_bounds, lean, mix64, parallelism, written
 
 MAX_SOURCES = 100_000
 MAX_SHARDS = 4096
@@ -133,7 +133,7 @@ def mixture(spark: SparkSession, sources: list[Source], options: MixOptions) ->
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), row["rank"]), pa.int32()), pa.array(np.full(len(slot), row["shard"]), pa.int32()), pa.array(slot), pa.array(block)], schema=schema)
 
     spans = spark.createDataFrame(rows, "rank int, shard int, first bigint, n bigint, blocks bigint, key bigint")
-    return spans.repartition(min(parallelism(spark), max(1, len(rows)))).mapInArrow(run, "rank int, shard int, slot bigint, block bigint")
+    return spans.repartition(min(parallelism(spark), max(1, len(rows)))).mapInArrow(lean(run), "rank int, shard int, slot bigint, block bigint")
 
 
 def size_of(text: Column) -> Column:
@@ -232,7 +232,7 @@ def mixed_documents(docs: DataFrame, options: MixOptions = MixOptions()) -> Data
                     made = made.set_column(names.index("n_chars"), "n_chars", pa.array(map(len, texts), pa.int64()).cast(batch.column("n_chars").type))
                 yield made
 
-    return need.mapInArrow(run, docs.schema)
+    return need.mapInArrow(lean(run), docs.schema)
 
 
 def op4_multinomial_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .chunks import encoder
-from .common import table, written
+from .common import table, lean, written
 
 SIZE = 1024
 END_ID = 2
@@ -145,7 +145,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     kinds = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part bigint, rank bigint" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, kinds)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lean(run), kinds)
 
 
 def pack(made: DataFrame, size: int = SIZE) -> DataFrame:
@@ -183,7 +183,7 @@ def pack(made: DataFrame, size: int = SIZE) -> DataFrame:
 
     joined = made.join(ahead, (F.col("part") == F.col("__part")) & (F.col("length") == F.col("__length"))).drop("__part", "__length")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in made.schema if f.name in columns)
-    return joined.mapInArrow(run, f"{kinds}, sequence_id bigint, offset bigint")
+    return joined.mapInArrow(lean(run), f"{kinds}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

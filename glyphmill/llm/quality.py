@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table, words_of
+from .common import table, lean, table, words_of
 
 
 @dataclass(frozen=True)
@@ -57,7 +57,7 @@ def features(text: str, options: QualityOptions) -> tuple[np.ndarray, np.ndarray
     half = options.terms // 2
     shapes: Counter[int] = Counter()
     plain: Counter[int] = Counter()
-    if len(_MEMO) > 1 << 17:
+    if len(_MEMO) > 1 << 16:
         _MEMO.clear()
     for word, n in Counter(words).items():
         terms = _MEMO.get(word)
@@ -162,7 +162,7 @@ def learn(docs: DataFrame, labels: DataFrame, options: QualityOptions = QualityO
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.tolist() for t, _ in made], pa.list_(pa.int64())), pa.array([w.tolist() for _, w in made], pa.list_(pa.float64())), batch.column(2)], names=["doc_id", "terms", "weights", "label"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__label")
-    got = rows.mapInArrow(run, "doc_id bigint, terms array<bigint>, weights array<double>, label int").dropDuplicates(["doc_id"]).collect()
+    got = rows.mapInArrow(lean(run), "doc_id bigint, terms array<bigint>, weights array<double>, label int").dropDuplicates(["doc_id"]).collect()
     got.sort(key=lambda r: r["doc_id"])
     return fit([(np.array(r["terms"], np.int64), np.array(r["weights"]), r["label"]) for r in got], options)
 
@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: QualityModel, rows: int = 512) -> DataFrame:
                 scores = model.scores([features(t or "", model.options) for t in batch.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "__score"])
 
-    return docs.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], "__score double"]))
+    return docs.mapInArrow(lean(run), ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], "__score double"]))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import ASCII_SPACE, map_batches, table, words_of
+from .common import ASCII_SPACE, table, map_batches, words_of
 
 #: The characters that count as symbols in the base rules.
 SYMBOLS = "#*$%&|<>"

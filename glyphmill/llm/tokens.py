@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .chunks import encoder
-from .common import bucket_of, key_bounds, mix64, parallelism, scratch, table, written
+from .common import bucket_of, table, key_bounds, lean, mix64, parallelism, scratch, written
 
 MAGIC = b"GMIDS\x00\x01\x00"
 GAMMA = 2  # bits of a level for each key that reaches it
@@ -159,7 +159,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, width: int = 2
                 data = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() + end for x in encode_all([t or "" for t in batch.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, ids binary")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id bigint, ids binary")
 
 
 def write_shards(encoded: DataFrame, path: str, bounds: list[int], width: int = 2, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -201,7 +201,7 @@ def write_shards(encoded: DataFrame, path: str, bounds: list[int], width: int =
             yield flush()
 
     dealt = encoded.repartitionById(len(bounds) + 1, bucket_of(F.col("doc_id"), bounds)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    return dealt.mapInArrow(run, "bucket int, part int, file string, n_docs bigint, n_ids bigint")
+    return dealt.mapInArrow(lean(run), "bucket int, part int, file string, n_docs bigint, n_ids bigint")
 
 
 def read_shards(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
@@ -224,7 +224,7 @@ def read_shards(spark: SparkSession, path: str, manifest: DataFrame) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(at), pa.string()), doc_ids, pa.array(starts[at]), pa.array(starts[at + 1] - starts[at]), pa.array(crc, pa.int64())], schema=schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(path)
-    rows = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(each, "file string, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(lean(each), "file string, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
     # ids before a shard: those of earlier ranges (one sum a range, on the driver), then those before it in its own
     totals = dict(manifest.groupBy("bucket").agg(F.sum("n_ids")).collect())
     ahead, before = 0, []
