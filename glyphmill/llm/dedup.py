@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import SPACES, WORD, table, lean, map_batches, mix64, unit, words_of, written
+from .common import SPACES, WORD, dealt_table, lean, map_batches, mix64, unit, words_of, written
 
 
 @dataclass(frozen=True)
@@ -398,4 +398,4 @@ def keep_one(docs: DataFrame, options: DedupOptions = DedupOptions()) -> DataFra
 
 def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and its class of near duplicates."""
-    return classes(table(spark, sf_dir, "documents"))
+    return classes(dealt_table(spark, sf_dir, "documents"))

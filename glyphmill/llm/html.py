@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table, map_batches
+from .common import dealt_table, map_batches
 
 #: Elements of HTML by kind.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -252,4 +252,4 @@ def extract(pages: DataFrame) -> DataFrame:
 
 def op10_ratio_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
-    return extract(table(spark, sf_dir, "pages"))
+    return extract(dealt_table(spark, sf_dir, "pages"))

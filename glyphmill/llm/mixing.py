@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import WORD, bucket_of, table, key_bounds, lean, mix64, parallelism, written
+from .common import WORD, bucket_of, dealt_table, key_bounds, lean, mix64, parallelism, written
 
 MAX_SOURCES = 100_000
 MAX_SHARDS = 4096
@@ -237,4 +237,4 @@ def mixed_documents(docs: DataFrame, options: MixOptions = MixOptions()) -> Data
 
 def op4_multinomial_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix of all sources takes of each document."""
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(dealt_table(spark, sf_dir, "documents"))

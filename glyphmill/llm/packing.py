@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .chunks import encoder
-from .common import table, lean, written
+from .common import dealt_table, lean, written
 
 SIZE = 1024
 END_ID = 2
@@ -199,4 +199,4 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
     import public_tokenizers
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(dealt_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

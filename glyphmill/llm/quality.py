@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table, lean, table, words_of
+from .common import dealt_table, lean, table, words_of
 
 
 @dataclass(frozen=True)
@@ -190,7 +190,7 @@ def held_out(doc_id: Column) -> Column:
 
 def op5_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, learned from the labels that aren't held out."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = dealt_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     model = learn(docs, table(spark, sf_dir, "labels"), allowed=~held_out(F.col("doc_id").cast("bigint")))
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
 

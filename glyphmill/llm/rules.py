@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import ASCII_SPACE, table, map_batches, words_of
+from .common import ASCII_SPACE, dealt_table, map_batches, words_of
 
 #: The characters that count as symbols in the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -235,5 +235,5 @@ def keep_good(docs: DataFrame, options: RuleOptions = RuleOptions()) -> DataFram
 
 def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against the base rules and the references of its language."""
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt_table(spark, sf_dir, "documents")
     return judge(docs, language_references(docs))

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .chunks import encoder
-from .common import bucket_of, table, key_bounds, lean, mix64, parallelism, scratch, written
+from .common import bucket_of, dealt_table, key_bounds, lean, mix64, parallelism, scratch, written
 
 MAGIC = b"GMIDS\x00\x01\x00"
 GAMMA = 2  # bits of a level for each key that reaches it
@@ -252,7 +252,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = scratch(spark, "token-ids")
-    manifest = token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    manifest = token_files(dealt_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
     return read_shards(spark, path, manifest)
