@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import ASCII_SPACE, dealt_table, map_batches, words_of
+from .common import ASCII_SPACE, dealt_table, map_batches, words_of, written
 
 #: The characters that count as symbols in the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -172,7 +172,7 @@ def language_references(docs: DataFrame, options: RuleOptions = RuleOptions()) -
     parts = map_batches(docs.select(F.col("text").cast("string"), F.col("lang").cast("string")), each, "lang string, hist array<bigint>")
     # sums by position; the width is fixed, so this is a plain aggregate with partial sums
     sums = [F.sum(F.col("hist")[i]).alias(f"h{i}") for i in range(width)]
-    by_lang = parts.groupBy("lang").agg(*sums)
+    by_lang = written(parts.groupBy("lang").agg(*sums), "languages")
     chars = functools.reduce(lambda a, b: a + b, [F.col(f"h{i}") for i in range(N_CLASSES)])
     out: References = {}
     for row in by_lang.orderBy(chars.desc(), "lang").limit(options.max_languages).collect():
