@@ -33,7 +33,7 @@ WORD_PIECE = re.compile(rf"{CONTRACTIONS}|[{LETTERS}]+|[0-9]|[^{SPACE}{LETTERS}0
 class ChunkEncoder:
     """batch(texts): little-endian unsigned 32-bit ids of each, without the special tokens of a template."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, max_cache: int = MAX_CACHE) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -44,6 +44,7 @@ class ChunkEncoder:
         known = pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and kind["normalizer"] is None or self.lower and pre["type"] == "Sequence" and [p["type"] for p in pre["pretokenizers"]] == ["Split", "ByteLevel"]
         self.cut = (WORD_PIECE if self.lower else BYTE_PIECE).findall if known else None
         self.special = re.compile("|".join(re.escape(t["content"]) for t in kind["added_tokens"]) or "(?!)")
+        self.max_cache = max_cache
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         (self.separator,) = self.tokenizer.encode("a" + SEPARATOR, add_special_tokens=False).ids[-1:]
@@ -78,7 +79,7 @@ class ChunkEncoder:
             else:
                 cut.append(pieces := self.cut(t.lower() if self.lower else t))
                 new.update(pieces)
-        if len(self.cache) > MAX_CACHE:
+        if len(self.cache) > self.max_cache:
             self.old, self.cache = self.cache, {}
         found = new - self.cache.keys()
         if again := found & self.old.keys():
@@ -91,6 +92,6 @@ class ChunkEncoder:
 
 
 @functools.cache
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, max_cache: int = MAX_CACHE) -> ChunkEncoder:
     """The encoder of this worker: its cache serves all tasks that the worker runs."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, max_cache)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .chunks import encoder
+from .chunks import MAX_CACHE, encoder
 from .common import dealt_table, lean, written
 
 SIZE = 1024
@@ -109,7 +109,7 @@ def best_fit_decreasing(counts: dict[int, int], size: int) -> tuple[list[Place],
     return places, n_bins
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False, cached_pieces: int = MAX_CACHE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece (ids array<int> if asked for).
 
     A document's ids are those of its whole text and then end_id; a longer one is cut into pieces
@@ -121,7 +121,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
     schema = pa.schema(names + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_all = encoder(tokenizer).batch
+        encode_all = encoder(tokenizer, cached_pieces).batch
         end, part = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         for whole in batches:
@@ -186,8 +186,9 @@ def pack(made: DataFrame, size: int = SIZE) -> DataFrame:
     return joined.mapInArrow(lean(run), f"{kinds}, sequence_id bigint, offset bigint")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    return pack(written(pieces(docs, tokenizer, size, end_id, with_ids), "pieces"), size)
+def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False, cached_pieces: int = MAX_CACHE) -> DataFrame:
+    """cached_pieces: of the text, with their ids, that a worker holds (twice as many, about 180 bytes each)."""
+    return pack(written(pieces(docs, tokenizer, size, end_id, with_ids, cached_pieces), "pieces"), size)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -199,4 +200,4 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
     import public_tokenizers
 
-    return pack_documents(dealt_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(dealt_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cached_pieces=3 << 17)

@@ -37,6 +37,7 @@ from .common import bucket_of, dealt_table, key_bounds, lean, mix64, parallelism
 MAGIC = b"GMIDS\x00\x01\x00"
 GAMMA = 2  # bits of a level for each key that reaches it
 END_ID = 1
+CACHED_PIECES = 3 << 17  # of a generation of a worker's cache (about 180 bytes each): nothing else is held there
 SHARD_IDS = 1 << 23  # ids after which a shard ends
 
 
@@ -151,7 +152,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, width: int = 2
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_all = encoder(tokenizer).batch
+        encode_all = encoder(tokenizer, CACHED_PIECES).batch
         end = np.array([end_id], f"<u{width}").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
