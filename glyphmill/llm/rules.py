@@ -3,13 +3,17 @@
 A document's histogram of character classes and its histogram of common words are compared with
 those of its language by the Jensen-Shannon distance (the square root of the divergence in bits,
 0 to 1).  The references are those of the whole corpus: the summed histograms of all documents of
-a language that pass the base rules.  A distance is judged only where the document is long enough
-for its histogram to mean something.
+a language that pass the base rules.  The distance of the characters is judged only where the
+document is long enough for its histogram to mean something.  That of the common words is judged
+at every length: the fewer words, the more of it is chance, by about a constant over their number
+in the square, and the limit widens by that.  Under some 40 words junk lies no farther from its
+language than prose does, so there hardly anything is rejected by it.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass
@@ -46,9 +50,10 @@ class RuleOptions:
     min_words: int = 10
     max_repeat_percent: int = 20
     min_chars: int = 250  # guard: shorter documents aren't judged by their characters
-    min_common: int = 200  # guard: documents of fewer words aren't judged by their common words
     max_char_distance: float = 0.3
-    max_word_distance: float = 0.25
+    max_word_distance: float = 0.25  # of documents of full_words and more
+    full_words: int = 200  # documents of fewer words have a wider limit
+    word_noise: float = 4.0  # how much wider: in the square of the distance, this over the words
     max_languages: int = 256  # references of their own; documents of rarer languages take the pooled one
 
 
@@ -185,13 +190,20 @@ def language_references(docs: DataFrame, options: RuleOptions = RuleOptions()) -
     return out
 
 
+def word_limit(n: int, options: RuleOptions) -> float:
+    """The greatest distance of the common words that a document of n words may have."""
+    if n >= options.full_words:
+        return options.max_word_distance
+    return math.sqrt(options.max_word_distance**2 + options.word_noise * (1 / max(1, n) - 1 / options.full_words))
+
+
 def verdict(text: str, lang: str | None, references: References, options: RuleOptions) -> tuple[bool, float, float]:
-    """Kept by the method, the distance of the characters, that of the common words (0 where a guard holds)."""
+    """Kept by the method, the distance of the characters (0 where its guard holds), that of the common words."""
     by_class, common = histograms(text)
     ref = references.get(lang, references[None])
     chars = js_distance(by_class, ref[0]) if by_class.sum() >= options.min_chars else 0.0
-    words = js_distance(common, ref[1]) if common.sum() >= options.min_common else 0.0
-    return chars <= options.max_char_distance and words <= options.max_word_distance, chars, words
+    words = js_distance(common, ref[1])
+    return chars <= options.max_char_distance and words <= word_limit(int(common.sum()), options), chars, words
 
 
 COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, char_distance double, word_distance double"

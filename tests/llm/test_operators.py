@@ -178,6 +178,25 @@ def test_op2_keeps_prose_and_drops_junk(spark, odd, empty):
     assert rules.keep_good(documents(spark)).columns == DOCS.names and rules.keep_good(no_documents(spark)).count() == 0
 
 
+def test_op2_judges_short_documents_by_common_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    references = rules.language_references(docs)
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    rows = [r for r in rules.judge(docs, references).collect() if not r["base_failed"] and 40 <= r["n_words"] < 200]
+    assert np.mean([r["kept"] for r in rows if labels.get(r["doc_id"]) == 1]) > 0.97
+    assert sum(r["kept"] for r in rows if labels.get(r["doc_id"]) == 0) <= 1
+    rng = random.Random(5)
+    options = rules.RuleOptions()
+    prose = " ".join(r["text"] for r in docs.where("lang = 'en'").orderBy("doc_id").limit(200).collect() if labels.get(r["doc_id"]) == 1).split()
+    for n in (60, 80, 100, 120, 150, 199, 200, 400):  # word salad in letters like those of prose: only the common words tell
+        salad = ["".join(rng.sample(w, len(w))) + "q" for w in rng.sample(prose, n)]
+        kept, chars, words = rules.verdict(" ".join(salad), "en", references, options)
+        assert not kept and chars <= options.max_char_distance and words > rules.word_limit(n, options)
+        assert rules.verdict(" ".join(prose[:n]), "en", references, options)[0]
+    limits = [rules.word_limit(n, options) for n in range(1, 300)]
+    assert limits == sorted(limits, reverse=True) and limits[-1] == options.max_word_distance
+
+
 # --- 3: packing ---
 
 
