@@ -60,21 +60,27 @@ def resolve_revisits(records: DataFrame, parts: int | None = None) -> DataFrame:
     `missing` (no earlier response); headers and body are null unless resolved.
 
     A response at the time of the revisit itself counts as earlier; of responses at one time the
-    one of the greatest record_id counts.  Records without url or ts match nothing: such revisits
-    are missing.  Repeated revisits are resolved each for itself.
+    one of the greatest record_id counts (null is the least; of one record_id, one by a hash of the
+    whole record).  Records without url or ts match nothing: such revisits are missing.  Repeated
+    revisits, and those whose record_id is null or repeated, are resolved each for itself.
     """
     named = records.where(F.col("kind").isin("response", "revisit")).withColumn("__url", canonical_url(F.col("url"))).withColumn("__ts", F.col("ts").cast("bigint"))
     bounds = key_bounds(named.select("__ts"), "__ts", parts or parallelism(records.sparkSession))
     dealt = named.withColumn("__bucket", bucket_of(F.col("__ts"), bounds))
     good = F.col("__url").isNotNull() & F.col("__ts").isNotNull()
-    answer = F.when(F.col("kind") == "response", F.struct("record_id", "etag", "last_modified"))
-    slim = dealt.select("record_id", "kind", "__url", "__ts", "__bucket", "etag", "last_modified").where(good)
-    order = [F.col("__ts"), (F.col("kind") == "revisit"), F.col("record_id")]
+    # a response is named by hashes of all of it, as ids may be null or repeated; a revisit is carried whole
+    whole = [F.col("record_id"), F.col("__url"), F.col("__ts"), F.col("etag"), F.col("last_modified"), F.array_sort(F.map_entries("headers")), F.col("body")]
+    names = [F.xxhash64(F.lit(salt), *[F.struct(c.isNull(), c) for c in whole]) for salt in ("first", "second")]
+    is_response, is_revisit = F.col("kind") == "response", F.col("kind") == "revisit"
+    own = [F.when(is_revisit, F.col(c)).alias(c) for c in ("url", "ts", "headers")]
+    slim = dealt.where(good).select("record_id", "kind", "__url", "__ts", "__bucket", "etag", "last_modified", *own, *[F.when(is_response, n).alias(f"__h{i}") for i, n in enumerate(names)])
+    answer = F.when(is_response, F.struct("record_id", "__h0", "__h1", "etag", "last_modified"))
+    order = [F.col("__ts"), is_revisit, F.col("record_id"), F.col("__h0"), F.col("__h1")]
     inside = slim.withColumn("__own", F.last(answer, True).over(W.partitionBy("__url", "__bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
-    ends = slim.groupBy("__url", "__bucket").agg(F.max(F.when(F.col("kind") == "response", F.struct("__ts", "record_id", "etag", "last_modified"))).alias("__end"))
+    ends = slim.groupBy("__url", "__bucket").agg(F.max(F.when(is_response, F.struct("__ts", "record_id", "__h0", "__h1", "etag", "last_modified"))).alias("__end"))
     ahead = ends.select(F.col("__url").alias("__u"), F.col("__bucket").alias("__b"), F.last("__end", True).over(W.partitionBy("__url").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
-    revisits = inside.where(F.col("kind") == "revisit").join(ahead, (F.col("__url") == F.col("__u")) & (F.col("__bucket") == F.col("__b")))
-    before = F.when(F.col("__before").isNotNull(), F.struct(F.col("__before.record_id").alias("record_id"), F.col("__before.etag").alias("etag"), F.col("__before.last_modified").alias("last_modified")))
+    revisits = inside.where(is_revisit).join(ahead, (F.col("__url") == F.col("__u")) & (F.col("__bucket") == F.col("__b")))
+    before = F.when(F.col("__before").isNotNull(), F.struct(*[F.col(f"__before.{c}").alias(c) for c in ("record_id", "__h0", "__h1", "etag", "last_modified")]))
     found = revisits.withColumn("__found", F.coalesce("__own", before))
     tags = F.col("etag").isNotNull() & F.col("__found.etag").isNotNull()
     dates = F.col("last_modified").isNotNull() & F.col("__found.last_modified").isNotNull()
@@ -84,11 +90,13 @@ def resolve_revisits(records: DataFrame, parts: int | None = None) -> DataFrame:
         .when(dates, F.when(F.col("last_modified") == F.col("__found.last_modified"), "resolved").otherwise("changed"))
         .otherwise("unchecked")
     )
-    decided = found.select(F.col("record_id").alias("__id"), F.col("__found.record_id").alias("response_id"), status.alias("status"))
-    renewed = records.where("kind = 'revisit'").select("record_id", "url", "ts", F.col("headers").alias("__new")).dropDuplicates(["record_id"])
-    counted = renewed.join(decided, F.col("record_id") == F.col("__id"), "left").select("record_id", "url", "ts", "__new", "response_id", F.coalesce("status", F.lit("missing")).alias("status"))
-    stored = records.where("kind = 'response'").select(F.col("record_id").alias("__rid"), F.col("headers").alias("__old"), F.col("body").alias("__body"))
-    both = counted.join(stored, F.when(F.col("status") == "resolved", F.col("response_id")) == F.col("__rid"), "left")
+    wanted = [F.when(status == "resolved", F.col(f"__found.__h{i}")).alias(f"__w{i}") for i in range(2)]
+    decided = found.select("record_id", "url", "ts", F.col("headers").alias("__new"), F.col("__found.record_id").alias("response_id"), status.alias("status"), *wanted)
+    lost = dealt.where(is_revisit & ~good).select("record_id", "url", "ts", F.col("headers").alias("__new"), F.lit("missing").alias("status"))
+    counted = decided.unionByName(lost, allowMissingColumns=True)
+    # equal rows are stored once; dealt by more than the join's key, so that the join has shuffles of its own that can be split
+    stored = named.where(is_response & good).select(F.col("__ts").alias("__at"), *[n.alias(f"__h{i}") for i, n in enumerate(names)], F.col("headers").alias("__old"), F.col("body").alias("__body")).dropDuplicates(["__at", "__h0", "__h1"])
+    both = counted.join(stored, (F.col("__w0") == F.col("__h0")) & (F.col("__w1") == F.col("__h1")), "left")
     done = F.col("status") == "resolved"
     return both.select("record_id", "url", "ts", "response_id", "status", F.when(done, merged_headers(F.col("__old"), F.col("__new"))).alias("headers"), F.when(done, F.col("__body")).alias("body"))
 

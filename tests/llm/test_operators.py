@@ -412,6 +412,28 @@ def test_revisits(spark):
     assert warc.resolve_revisits(records.limit(0)).count() == 0
 
 
+def test_revisits_with_null_and_repeated_ids(spark):
+    rows = [
+        (None, "response", "http://a.com/x", 10, '"e1"', None, {"age": "1"}, "one"), (None, "response", "http://b.com/", 10, '"e2"', None, {"age": "2"}, "two"),
+        (1, "response", "http://c.com/", 10, '"e3"', None, {"age": "3"}, "three"), (1, "response", "http://d.com/", 10, '"e4"', None, None, "four"), (1, "response", "http://d.com/", 10, '"e4"', None, None, "four"),
+        (2, "response", "http://f.com/", 10, '"e5"', None, {}, None), (2, "response", "http://f.com/", 10, '"e5"', None, {}, "five"),
+        (None, "revisit", "http://a.com/x", 20, '"e1"', None, {"date": "n1"}, None), (None, "revisit", "http://b.com/", 20, '"e2"', None, {"date": "n2"}, None), (None, "revisit", "http://e.com/", 20, '"e2"', None, {}, None),
+        (7, "revisit", "http://c.com/", 20, '"e3"', None, {"date": "n3"}, None), (7, "revisit", "http://d.com/", 21, '"e4"', None, {}, None), (7, "revisit", "http://d.com/", 21, '"e4"', None, {}, None),
+        (8, "revisit", None, 20, '"e3"', None, {}, None), (8, "revisit", None, 20, '"e3"', None, {}, None), (None, "revisit", "http://a.com/x", None, '"e1"', None, {}, None), (9, "revisit", "http://f.com/", 20, '"e5"', None, {}, None),
+    ]
+    records = spark.createDataFrame(rows, "record_id long, kind string, url string, ts long, etag string, last_modified string, headers map<string,string>, body string")
+    want = Counter([
+        (None, "http://a.com/x", 20, None, "resolved", "n1", "one"), (None, "http://b.com/", 20, None, "resolved", "n2", "two"), (None, "http://e.com/", 20, None, "missing", None, None),
+        (7, "http://c.com/", 20, 1, "resolved", "n3", "three"), *[(7, "http://d.com/", 21, 1, "resolved", None, "four")] * 2,
+        *[(8, None, 20, None, "missing", None, None)] * 2, (None, "http://a.com/x", None, None, "missing", None, None),
+    ])
+    for parts in (1, 3):
+        got = [(r["record_id"], r["url"], r["ts"], r["response_id"], r["status"], (r["headers"] or {}).get("date"), r["body"]) for r in warc.resolve_revisits(records, parts).collect()]
+        tie = [r for r in got if r[0] == 9]
+        assert len(tie) == 1 and tie[0][3:5] == (2, "resolved") and tie[0][6] in (None, "five")
+        assert Counter(r for r in got if r[0] != 9) == want
+
+
 # --- 8: fingerprints ---
 
 
