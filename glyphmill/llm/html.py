@@ -3,9 +3,9 @@
 The standard library's parser streams through the page once.  Its events give blocks of text (the
 "lines" of the method) and the containers they stand in.  Each line has a ratio of text outside
 links to tags; the ratios are smoothed along the page and split into content and the rest by a
-threshold of two-means clustering.  The content region is then the container that holds the lines
-so chosen; all its blocks are returned, short ones as well, but for those in menus, notices,
-comments and the like, which markup names.
+threshold of two-means clustering.  The content region is then the least container that holds all
+lines so chosen, and all paragraphs that are not mostly links; all its blocks are returned, short
+ones as well, but for those in menus, notices, comments and the like, which markup names.
 """
 
 from __future__ import annotations
@@ -175,11 +175,12 @@ def threshold(x: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def main_text(html: str, sigma: float = 1.0, share: float = 0.75) -> str:
+def main_text(html: str, sigma: float = 1.0) -> str:
     """The main text of a page; empty if it has none.
 
-    sigma: of the smoothing, in lines.  share: of the chosen text that a container must hold for
-    the region to narrow to it.
+    sigma: of the smoothing, in lines.  The region is the least container of all chosen lines, of
+    the paragraphs that are not mostly links, and of the headings met on the way to it, so no part
+    of a body that is split is left out.
     """
     parser = Lines()
     parser.feed(html)
@@ -204,9 +205,10 @@ def main_text(html: str, sigma: float = 1.0, share: float = 0.75) -> str:
         node: Node | None = line.node
         while node and node.tag not in CONTAINERS:
             node = node.up
-        if node and (value >= cut or line.node.tag in HEADINGS):
+        prose = value >= cut or line.node.tag == "p" and 2 * line.linked < len(line.text)
+        if node and (prose or line.node.tag in HEADINGS):
             node.own = True
-        while node and value >= cut:
+        while node and prose:
             node.chosen += len(line.text)
             node = node.up
     region = parser.root
@@ -219,9 +221,8 @@ def main_text(html: str, sigma: float = 1.0, share: float = 0.75) -> str:
                 inner.append(node)
             elif not node.out:
                 below += node.below
-        best = max(inner, key=lambda n: (n.chosen, n.tag in ("article", "main")), default=None)
-        semantic = best is not None and (best.tag in ("article", "main") or best.has_article)
-        if best is None or best.chosen < share * region.chosen and not (semantic and 2 * best.chosen >= region.chosen) or not best.chosen or region.own and not semantic:
+        best = max(inner, key=lambda n: n.chosen, default=None)
+        if best is None or not best.chosen or best.chosen < region.chosen or region.own:
             break
         region = best
     kept = []

@@ -532,6 +532,27 @@ def test_main_text():
     assert html.main_text("<p>" * 3000 + "deep" + "<div>" * 3000) == "deep"
 
 
+def test_main_text_keeps_all_parts_of_a_split_body():
+    def said(n, word):
+        return " ".join([word] * n) + " ends here."
+
+    def p(n, word):
+        return f"<p>{said(n, word)}</p>"
+
+    big, small, lead = said(160, "large"), said(40, "little"), said(30, "lead")
+    nav = "<nav><a href=x>Home</a></nav>"
+    both = f"{big}\n{small}"
+    for inside in ("section", "div", "article"):
+        body = f"<{inside}>{p(160, 'large')}</{inside}><{inside}>{p(40, 'little')}</{inside}>"
+        for around in ("main", "div", "article"):
+            assert html.main_text(f"<body>{nav}<{around} id=content>{body}</{around}><footer>me</footer>") == both, (inside, around)
+    # shares of 0.8 at each of two levels; two articles of 60 and 40; a lead and a heading before an article
+    assert html.main_text(f"<body>{nav}<main><div><div>{p(160, 'large')}</div><div>{p(40, 'little')}</div></div><div>{p(30, 'lead')}</div></main>") == f"{both}\n{lead}"
+    assert html.main_text(f"<body>{nav}<main><article>{p(60, 'one')}</article><article>{p(40, 'two')}</article></main>") == f"{said(60, 'one')}\n{said(40, 'two')}"
+    assert html.main_text(f"<body>{nav}<main><p>{lead}</p><article>{p(160, 'large')}</article></main>") == f"{lead}\n{big}"
+    assert html.main_text(f"<body>{nav}<main><h1>Title</h1><article>{p(160, 'large')}</article></main>") == f"Title\n{big}"
+
+
 def test_op10_on_pages(spark):
     import html as std
 
