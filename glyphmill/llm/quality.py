@@ -38,15 +38,36 @@ class QualityOptions:
 
 
 _SHAPES = [(re.compile(p), r) for p, r in ((r"[A-ZÀ-ÖØ-Þ]+", "X"), (r"[^\W\d_A-ZÀ-ÖØ-ÞX]+", "x"), (r"\d+", "0"), (r"(.)\1+", r"\1"))]
-_MEMO: dict[str, tuple[int, int]] = {}
+_MEMO: dict[bytes, tuple[int, int]] = {}
+#: Code points of a word that is a term as it is, and of the pieces of longer ones.
+LONGEST, GRAM = 64, 3
 
 
 def _word_terms(word: bytes, half: int) -> tuple[int, int]:
-    """The terms of a word: its shape, and the word in lower case without what is no letter at its ends."""
-    text = shape = word.decode("utf-8", "replace")[:64]
+    """The terms of a word: its shape, and the word in lower case without what is no letter at its ends; both of all of it."""
+    text = shape = word.decode("utf-8", "replace")
     for pattern, by in _SHAPES:
         shape = pattern.sub(by, shape)
-    return zlib.crc32(b"s" + shape[:16].encode()) % half, half + zlib.crc32(b"w" + text.lower().strip(".,;:!?#*$%&|<>\"'()").encode()) % half
+    return zlib.crc32(b"s" + shape.encode()) % half, half + zlib.crc32(b"w" + text.lower().strip(".,;:!?#*$%&|<>\"'()").encode()) % half
+
+
+def _units(words: list[bytes]) -> Iterator[tuple[bytes, float]]:
+    """Distinct words and how often each counts.
+
+    A word of more than LONGEST code points, as in texts without ASCII spaces, is parted at other
+    white space; parts that are still longer give all their overlapping pieces of GRAM code points,
+    which count so much that a part weighs as its length over GRAM.
+    """
+    for word, n in Counter(words).items():
+        if len(word) <= LONGEST or len(text := word.decode("utf-8", "replace")) <= LONGEST:
+            yield word, n
+            continue
+        for part, m in Counter(text.split()).items():
+            if len(part) <= LONGEST:
+                yield part.encode(), n * m
+            else:
+                for gram, k in Counter(map("".join, zip(*(part[i:] for i in range(GRAM)), strict=False))).items():
+                    yield gram.encode(), n * m * k / GRAM
 
 
 def features(text: str, options: QualityOptions) -> tuple[np.ndarray, np.ndarray]:
@@ -57,11 +78,11 @@ def features(text: str, options: QualityOptions) -> tuple[np.ndarray, np.ndarray
     half = options.terms // 2
     shapes: Counter[int] = Counter()
     plain: Counter[int] = Counter()
-    if len(_MEMO) > 1 << 16:
-        _MEMO.clear()
-    for word, n in Counter(words).items():
+    for word, n in _units(words):
         terms = _MEMO.get(word)
         if terms is None:
+            if len(_MEMO) > 1 << 16:
+                _MEMO.clear()
             terms = _MEMO[word] = _word_terms(word, half)
         shapes[terms[0]] += n
         plain[terms[1]] += n

@@ -347,6 +347,23 @@ def test_op5_odd_cases(spark):
     assert quality.keep_good(documents(spark), labels).columns == DOCS.names
 
 
+def test_op5_takes_terms_from_all_of_long_words():
+    def terms(text):
+        found, weights = quality.features(text, quality.QualityOptions())
+        return dict(zip(found.tolist(), weights.tolist(), strict=True))
+
+    rng = random.Random(4)
+    han = "".join(chr(0x4E00 + rng.randrange(500)) for _ in range(400))
+    for head, tail, other in ((han, han[::-1], "、".join(han[:90])), ("x" * 70, "A1" * 300, "b/" * 300), (("ab\u3000cd\u00a0" * 20), "ef gh", "\u3000".join(["good"] * 40))):
+        assert terms(head) != terms(head + tail) != terms(head + other) != terms(head)
+    assert terms("\u3000".join(["one", "two"] * 40)) == terms("\u00a0".join(["two", "one"] * 40))
+    assert terms("a.1" * 20 + "b") != terms("a.1" * 20 + "2")  # shapes that differ at their end only
+    start = "".join(rng.choice("abcdefgh") for _ in range(80))
+    assert len(terms(start + "".join(map(chr, range(0x3041, 0x3091))))) > len(terms(start)) + 40
+    big = "".join(chr(0x4E00 + i % 20000) for i in range(100_000))
+    assert terms(big) and len(quality._MEMO) <= (1 << 16) + 1 and max(map(len, quality._MEMO)) <= 4 * quality.LONGEST
+
+
 def test_scores_are_exact_nearest_neighbours():
     rng = np.random.default_rng(3)
     options = quality.QualityOptions(terms=64, dimensions=8, neighbours=5)
