@@ -96,6 +96,16 @@ def norm_byte_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["norm_byte_level"] = norm_byte_level
 ORACLES["norm_byte_level"] = f"{ALPHABET} SELECT p_partkey, {_byte_level_sql('p_name')} AS normalized FROM part, alphabet"
 
+
+def norm_byte_level_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte alphabet of all documents, as whole texts: part names are ASCII, so norm_byte_level meets few bytes."""
+    return texts(spark, sf_dir).select("doc_id", normalizer({"type": "ByteLevel"}).column(F.col("text")).alias("normalized"))
+
+
+QUERIES["norm_byte_level_documents"] = norm_byte_level_documents
+#: As for part names, but the hexadecimal form is cut once, so the time is linear in the text.
+ORACLES["norm_byte_level_documents"] = f"{ALPHABET} SELECT doc_id, array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: list_extract(a, ('0x' || h)::INT + 1)), '') AS normalized FROM {TEXTS}, alphabet"
+
 # --- pre-tokenizers ---
 
 _pieced("pre_whitespace", {"type": "Whitespace"}, _extract(rf"[{WORD}]+|[^{WORD}\s]+"))

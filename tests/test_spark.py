@@ -28,6 +28,17 @@ def test_query(spark, con, name):
         assert rows == Counter(con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall())
 
 
+def test_byte_level_of_documents_equals_brute_force(spark, con, tmp_path):
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    moved = [b for b in range(256) if b not in kept]
+    alphabet = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(moved)}
+    texts = ["".join(map(chr, range(0x800))), "".join(map(chr, range(0x800, 0xD800, 61))), "".join(map(chr, range(0xE000, 0x110000, 977))), "a\r\n\tb\x00\x7f\xad\u2028", "", None]
+    assert {b for t in texts if t for b in t.encode()} == set(range(0xF5)) - {0xC0, 0xC1}  # all bytes of UTF-8
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(map(tuple, QUERIES["norm_byte_level_documents"](spark, str(tmp_path)).collect()))
+    assert got == {i: "".join(alphabet[b] for b in (t or "").encode()) for i, t in enumerate(texts)}
+
+
 def test_sql_functions(spark):
     t = Tokenizer(toys.byte_bpe())
     register(spark, t, "toy_")
