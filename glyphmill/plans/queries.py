@@ -440,9 +440,10 @@ def transcript_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transcript_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English normalization of all documents, as transcript_basic: it is of a text, whatever its lang says."""
     from ..functions.tables import english_normalize
 
-    return texts(spark, sf_dir).where("true").join(table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id"), "doc_id", "left_semi").select("doc_id", english_normalize(F.col("text")).alias("normalized"))
+    return texts(spark, sf_dir).select("doc_id", english_normalize(F.col("text")).alias("normalized"))
 
 
 def norm_nfkd(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,14 @@ def test_byte_level_of_documents_equals_brute_force(spark, con, tmp_path):
     assert got == {i: "".join(alphabet[b] for b in (t or "").encode()) for i, t in enumerate(texts)}
 
 
+def test_transcript_english_covers_all_documents(spark, tmp_path):
+    rows = [(1, "Café: it's 5 kg", "en"), (2, "Déjà vu", "fr"), (3, "colour", None), (None, "Größe", "de"), (4, None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["transcript_english"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in got} == {1, 2, 3, 4, None} and len(got) == len(rows)
+    assert {r["doc_id"]: r["normalized"] for r in got}[3] == "colour"
+
+
 def test_sql_functions(spark):
     t = Tokenizer(toys.byte_bpe())
     register(spark, t, "toy_")
