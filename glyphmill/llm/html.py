@@ -1,16 +1,22 @@
 """Main-text extraction: parser events, text-to-tag ratios, Gaussian smoothing, threshold clustering.
 
 The standard library's parser streams through the page once.  Its events give blocks of text (the
-"lines" of the method) and the containers they stand in.  Each line has a ratio of text outside
-links to tags; the ratios are smoothed along the page and split into content and the rest by a
-threshold of two-means clustering.  The content region is then the least container that holds all
-lines so chosen, and all paragraphs that are not mostly links; all its blocks are returned, short
-ones as well, but for those in menus, notices, comments and the like, which markup names.
+"lines" of the method) and the boxes they stand in (sections, divisions, cells and the like).
+Each line has a ratio of text outside links to tags; the logarithms of the ratios are smoothed
+along the page and split into high and low lines by the threshold of a two-means clustering.
+
+The ratios choose the region: a box is content where it has a high line, and what stands between
+its first and its last high part belongs to it, as do short paragraphs beside high lines and
+headings before them.  Boxes without high lines, such as menus and lists of links, are left out.
+Markup gives hints only: footers, forms, scripts and what class names call adverts, comments and
+so on never count as lines (unless a page has no others), and what an article or main element
+holds is not left out for being short.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -23,33 +29,42 @@ from .common import dealt_table, map_batches
 #: Elements of HTML by kind.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter output picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
-CONTAINERS = set("html body div section article main td center table tbody tr".split())
-UNSEEN = set("head script style noscript template iframe object svg math canvas audio video map datalist".split())
-BOILERPLATE = set("nav header footer aside form button select textarea dialog menu".split())
+BOXES = set("html body div section article main nav center table tbody tr td th".split())
+UNSEEN = set("head title script style noscript template iframe object svg math canvas audio video map datalist".split())
+IN_HEAD = set("title meta link style script base noscript template object".split())
+BOILERPLATE = set("header footer aside form button select textarea dialog menu".split())
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Words of class and id attributes that name boilerplate.
-NAMES = set("""ad ads adv advert adverts advertisement advertising adbox adslot adsense sponsor sponsored promo promotion banner sidebar sidenav aside menu
-nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal
-overlay newsletter subscribe subscription signup login register share sharing social related recommended recommendations comment comments commentlist disqus
-reply replies respond discussion widget pagination pager copyright disclaimer paywall search""".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
-#: Opening one of the keys ends an open one of its values.
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: What such an end does not reach beyond.
-STOPS = {"ul", "ol", "dl", "table", "select", "menu"}
+TEXTS = set("p li dt dd blockquote pre figcaption caption td th address".split()) | HEADINGS
+#: Words of class and id attributes that name boilerplate, and words that may stand beside them.
+NAMES = set("""ad ads adv advert adverts advertisement advertisements advertising adbox adslot adsense sponsor sponsored sponsors promo promos promotion banner sidebar sidebars sidenav aside menu menus
+nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal
+overlay newsletter subscribe subscription signup login register share sharing social related recommended recommendations comment comments commentlist disqus
+reply replies respond discussion widget widgets pagination pager copyright disclaimer paywall search""".split())
+BESIDE = set("""area article articles bar block blocks body bottom box btn button buttons col column container content div entry feed foot form global group head heading info
+inline inner item items label layer left link links list lists main message messages module modules no outer page pane panel part post posts primary reader readers region right row secondary
+section sections short side site slot small sticky stories story text the thread title top unit user users wrap wrapper zone""".split()) - {"no"}
+#: Opening one of the keys ends an open one of its values, up to the next list or table.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+STOPS = ("ul", "ol", "dl", "table", "select", "menu")
 
 
 @dataclass(slots=True)
 class Node:
     tag: str
     up: Node | None
+    box: Node | None = None  # the nearest box that it is or stands in
     named: bool = False  # by its attributes, as boilerplate
+    heads: bool = False  # named by a word for headers alone
     unseen: bool = False
-    has_article: bool = False
+    inside: bool = False  # an article or main, or in one
+    first_article: bool = False  # the first article or main stands in it
     out: bool = False  # it or what it stands in is left out
-    chosen: int = 0  # characters of chosen lines in it
-    own: bool = False  # a chosen line or a heading stands in it directly
-    below: list[Node] = field(default_factory=list)
+    mode: int = 0  # of a box, see _choose
+    parts: list[Line | Node] = field(default_factory=list)  # lines and boxes in a box, in order
+    high: int = 0  # high lines in it
+    chars: int = 0
+    linked: int = 0
 
 
 @dataclass(slots=True)
@@ -58,44 +73,74 @@ class Line:
     node: Node
     tags: int
     linked: int
+    high: bool = False
+    kept: bool = False
+
+    @property
+    def links(self) -> bool:
+        """Whether most of it stands in links."""
+        return 2 * self.linked >= len(self.text)
 
 
-def _named(attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
-    """Boilerplate by name; not shown."""
-    named = unseen = False
+def _words(name: str) -> list[str]:
+    """The words of a class or id, parted at capitals and what is no letter; what follows `--` only modifies."""
+    return [w.lower() for w in re.findall(r"[A-Z]*[a-z]+|[A-Z]+", name.split("--")[0]) if len(w) > 1]
+
+
+def _named(attrs: list[tuple[str, str | None]]) -> tuple[bool, bool, bool]:
+    """Boilerplate by name; by a word for headers alone; not shown."""
+    found: set[str] = set()
+    role = unseen = False
     for name, value in attrs:
-        value = (value or "").lower()  # noqa: PLW2901
+        value = value or ""  # noqa: PLW2901
         if name in ("class", "id"):
-            for word in value.split():
-                parts = re.split(r"[^a-z]+", word)
-                if parts[0] not in ("has", "with", "no", "without") and not NAMES.isdisjoint(parts):
-                    named = True
+            for token in value.split():
+                words = _words(token)
+                if all(w in NAMES or w in BESIDE for w in words):
+                    found |= NAMES.intersection(words)
         elif name == "role":
-            named |= value in ROLES
-        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            role |= value.lower() in ROLES
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
             unseen = True
-    return named, unseen
+    return bool(found) or role, bool(found) and found <= {"header", "masthead"} and not role, unseen
 
 
 class Lines(HTMLParser):
-    """The lines of a page, from parser events."""
+    """The lines of a page, from parser events, in time that is linear in its tags however deep they nest."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("html", None)
-        self.nodes = [self.root]
-        self.lines: list[Line] = []
+        root = Node("html", None)
+        root.box = root
+        self.stack = [root]  # open elements
+        self.depths: dict[str, list[int]] = defaultdict(list)  # of the open elements of a tag
+        self.events: list[Node | Line] = [root]  # elements and lines, in order
         self.data: list[str] = []
         self.tags = self.links = self.linked = 0
+        self.article = False  # one has been met
+
+    def parse_html_declaration(self, i: int) -> int:
+        """Marked sections (`<![...`) have no meaning in HTML: they are comments, up to the next `>`."""
+        if self.rawdata.startswith("<![", i):
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
 
     def flush(self) -> None:
         if self.data:
             text = " ".join("".join(self.data).split())
             if text:
-                self.lines.append(Line(text, self.at, self.tags, self.linked))
+                self.events.append(Line(text, self.stack[-1], self.tags, self.linked))
                 self.tags = 0
             self.data, self.linked = [], 0
 
+    def _close(self, depth: int) -> None:
+        """Ends the open elements from this depth on."""
+        while len(self.stack) > depth:
+            self.depths[self.stack.pop().tag].pop()
+
+    def _last(self, tags: tuple[str, ...]) -> int:
+        return max((self.depths[t][-1] for t in tags if self.depths[t]), default=0)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in INLINE:
@@ -103,49 +148,46 @@ class Lines(HTMLParser):
                 self.links += 1
             elif tag == "br":
                 self.data.append(" ")
-            named, unseen = _named(attrs) if attrs and tag not in VOID else (False, False)
-            if not (named or unseen):
+            if not attrs or tag in VOID:
                 return
+        named, heads, unseen = _named(attrs) if attrs else (False, False, False)
+        if tag in INLINE and not (named or unseen):
+            return
         self.flush()
+        if self.depths["head"] and tag not in IN_HEAD:
+            self._close(self.depths["head"][-1])
         if tag in VOID or tag in ("html", "body"):
             return
         self.links = 0
-        if self.at.tag == "p" or self.at.tag in HEADINGS and tag in HEADINGS:
-            self.at = self.at.up
-        node = self.at
-        while node.up and node.tag not in STOPS and tag in ENDS:
-            if node.tag in ENDS[tag]:
-                self.at = node.up
-                break
-            node = node.up
-        named, unseen = _named(attrs)
-        node = Node(tag, self.at, named, unseen or tag in UNSEEN)
-        self.at.below.append(node)
-        self.at = node
-        self.nodes.append(node)
-        if tag in ("article", "main"):
-            while node.up and not node.up.has_article:
-                node = node.up
-                node.has_article = True
+        if self.stack[-1].tag == "p" or self.stack[-1].tag in HEADINGS and tag in HEADINGS:
+            self._close(len(self.stack) - 1)
+        if tag in ENDS and (at := self._last(ENDS[tag])) > self._last(STOPS):
+            self._close(at)
+        up = self.stack[-1]
+        node = Node(tag, up, None, named, heads, unseen or tag in UNSEEN, up.inside or tag in ("article", "main"))
+        node.box = node if tag in BOXES or tag in BOILERPLATE or named else up.box
+        self.depths[tag].append(len(self.stack))
+        self.stack.append(node)
+        self.events.append(node)
+        if tag in ("article", "main") and not self.article and not named:
+            self.article = True  # once a page, so this is linear too
+            for open_ in self.stack:
+                open_.first_article = True
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in INLINE and self.at.up and self.at.tag == tag and tag in ("script", "iframe"):
-            self.at = self.at.up
+        if tag in ("script", "iframe", "svg") and self.stack[-1].tag == tag:
+            self._close(len(self.stack) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        node = self.at
         if tag == "a":
             self.links = max(0, self.links - 1)
-        while node.up and node.tag != tag:
-            node = node.up
-        if not node.up:  # not open
-            if tag not in INLINE:
-                self.flush()
-            return
-        self.flush()
-        self.at = node.up
+        if self.depths[tag]:
+            self.flush()
+            self._close(self.depths[tag][-1])
+        elif tag not in INLINE:
+            self.flush()
 
     def handle_data(self, data: str) -> None:
         self.data.append(data)
@@ -153,6 +195,25 @@ class Lines(HTMLParser):
             self.linked += len(data)
 
 
+#: Character references of more digits than the parser turns to numbers.
+_LONG_REFERENCE = re.compile(r"&#0*([0-9]{1000,});?")
+
+
+def lines_of(html: str) -> Lines:
+    """The parsed page.  What the parser can't go on with ends the page there."""
+    at = html.rfind("<!--")
+    if at >= 0 and html.find("-->", at) < 0 and html.find("</", at) < 0:
+        html = html[:at]  # a comment that never ends
+    parser = Lines()
+    try:
+        parser.feed(_LONG_REFERENCE.sub("\ufffd", html))
+        parser.close()
+    except (AssertionError, ValueError):
+        pass
+    parser.flush()
+    return parser
+
+
 def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian smoothing; the ends are padded with zeros and renormalized."""
     reach = max(1, int(3 * sigma))
@@ -175,71 +236,96 @@ def threshold(x: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def ratios(lines: list[Line]) -> np.ndarray:
+    """Characters outside links to tags, of each line."""
+    return np.array([max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines])
+
+
+def _leave_out(nodes: list[Node], by_name: bool) -> None:
+    """Marks what hints leave out; parents come before children."""
+    for node in nodes:
+        inside = bool(node.up and node.up.inside)
+        by_tag = node.tag in BOILERPLATE and not (node.tag == "header" and inside)
+        named = node.named and not node.first_article and not (node.heads and inside)
+        node.out = bool(node.up and node.up.out) or node.unseen or by_tag or by_name and named
+
+
+DROP, WALK, ALL = range(3)
+
+
+def _boxed(events: list[Node | Line]) -> list[Node]:
+    """The boxes that aren't left out, parents first, each with its parts in order and the sums of its lines."""
+    boxes: list[Node] = []
+    for event in events:
+        if isinstance(event, Line):
+            if not event.node.out:
+                event.node.box.parts.append(event)
+        elif event.box is event and not event.out:
+            event.parts, event.high, event.chars, event.linked, event.mode = [], 0, 0, 0, DROP
+            boxes.append(event)
+            if event.up:
+                event.up.box.parts.append(event)
+    for box in reversed(boxes):
+        for part in box.parts:
+            box.high += part.high
+            box.chars += len(part.text) if isinstance(part, Line) else part.chars
+            box.linked += part.linked
+    return boxes
+
+
+def _choose(boxes: list[Node]) -> None:
+    """Marks the lines that are kept, from those that are high."""
+    boxes[0].mode = WALK
+    for box in boxes:
+        # a box with nothing but one line counts as a line of the box around it
+        parts = [(p.parts[0], p.tag) if isinstance(p, Node) and len(p.parts) == 1 and isinstance(p.parts[0], Line) else (p, p.node.tag if isinstance(p, Line) else p.tag) for p in box.parts]
+        if box.mode == ALL:
+            for part, _ in parts:
+                if isinstance(part, Line):
+                    part.kept = True
+                else:
+                    part.mode = ALL
+        if box.mode != WALK:
+            continue
+        hot = [k for k, (part, _) in enumerate(parts) if part.high]
+        direct = any(isinstance(parts[k][0], Line) for k in hot)
+        for k, (part, tag) in enumerate(parts):
+            between = bool(hot) and hot[0] < k < hot[-1]
+            if isinstance(part, Line):
+                beside = tag in TEXTS and direct or tag in HEADINGS and bool(hot) and k < hot[-1]
+                part.kept = part.high or between or (box.inside or beside) and not part.links or box.inside and tag in TEXTS and tag != "li"
+            elif part.high:
+                part.mode = WALK
+            elif (box.inside or between) and 2 * part.linked < part.chars:
+                part.mode = ALL
+
+
 def main_text(html: str, sigma: float = 1.0) -> str:
     """The main text of a page; empty if it has none.
 
-    sigma: of the smoothing, in lines.  The region is the least container of all chosen lines, of
-    the paragraphs that are not mostly links, and of the headings met on the way to it, so no part
-    of a body that is split is left out.
+    sigma: of the smoothing, in lines.  Where no line with text outside links is left beside what
+    class names call boilerplate, names don't count.
     """
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    for node in parser.nodes:  # parents come before children
-        inside = node.up
-        article = False
-        while inside and not article:
-            article, inside = inside.tag in ("article", "main"), inside.up
-        boiler = node.tag in BOILERPLATE or node.named and node.tag not in ("article", "main") and not node.has_article
-        if node.tag == "header" and article or node.named and node.tag in ("article", "main") and article:
-            boiler = node.tag != "header" and node.named
-        node.out = bool(node.up and node.up.out) or node.unseen or boiler
-    lines = [x for x in parser.lines if not x.node.out]
-    if not lines:
-        return ""
-    ratios = np.array([max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines])
-    smoothed = smooth(ratios, sigma)
-    cut = threshold(smoothed)
-    for line, value in zip(lines, smoothed, strict=True):
-        node: Node | None = line.node
-        while node and node.tag not in CONTAINERS:
-            node = node.up
-        prose = value >= cut or line.node.tag == "p" and 2 * line.linked < len(line.text)
-        if node and (prose or line.node.tag in HEADINGS):
-            node.own = True
-        while node and prose:
-            node.chosen += len(line.text)
-            node = node.up
-    region = parser.root
-    while region.tag != "article":
-        inner: list[Node] = []
-        below = list(region.below)
-        while below:  # the containers next below, whatever stands between
-            node = below.pop()
-            if node.tag in CONTAINERS and not node.out:
-                inner.append(node)
-            elif not node.out:
-                below += node.below
-        best = max(inner, key=lambda n: n.chosen, default=None)
-        if best is None or not best.chosen or best.chosen < region.chosen or region.own:
-            break
-        region = best
-    kept = []
-    for line in lines:
-        node = line.node
-        while node and node is not region:
-            node = node.up
-        if node:
-            kept.append(line.text)
-    return "\n".join(kept)
+    page = lines_of(html)
+    for by_name in (True, False):
+        _leave_out([e for e in page.events if isinstance(e, Node)], by_name)
+        lines = [e for e in page.events if isinstance(e, Line) and not e.node.out]
+        found = ratios(lines)
+        if not lines or not found.any():
+            continue
+        smoothed = smooth(np.log1p(found), sigma)
+        for line, high in zip(lines, (smoothed >= threshold(smoothed)).tolist(), strict=True):
+            line.high = high
+        _choose(_boxed(page.events))
+        return "\n".join(x.text for x in lines if x.kept)
+    return ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages.
 
     A null or empty page has an empty text; repeated rows are extracted each for itself; malformed
-    markup is read as the parser reads it, up to its end; other columns are ignored.
+    markup is read as the parser reads it, up to where it can't go on; other columns are ignored.
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 

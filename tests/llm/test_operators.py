@@ -570,6 +570,54 @@ def test_main_text_keeps_all_parts_of_a_split_body():
     assert html.main_text(f"<body>{nav}<main><h1>Title</h1><article>{p(160, 'large')}</article></main>") == f"Title\n{big}"
 
 
+def _soup(rng):
+    """A page without any hint in tags or names, and its main text."""
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(3, 9)))
+    said = lambda n: " ".join(word() for _ in range(n)) + "."
+    links = lambda n: "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(n))
+    title = said(5)
+    body = [said(rng.randint(25, 80)) for _ in range(rng.randint(3, 12))]
+    body[1:1] = [said(2)]  # a short one between
+    paragraphs = "".join(f"<p>{b}</p>" for b in body)
+    page = f"<html><body><div><ul>{links(8)}</ul></div><div><div>{word()}</div><div><a href=x>{word()}</a></div></div><div><h1>{title}</h1>{paragraphs}</div><div><ul>{links(6)}</ul></div><div><span><a href=x>{word()}</a></span></div></body></html>"
+    return page, "\n".join([title, *body])
+
+
+def test_ratios_choose_the_main_text(monkeypatch):
+    import random
+
+    pages = [_soup(random.Random(i)) for i in range(100)]
+    assert [html.main_text(p) for p, _ in pages] == [t for _, t in pages]
+    # without the ratios the menus come too, or the text is lost
+    rng = np.random.default_rng(1)
+    for smooth in (lambda x, _: np.ones_like(x), lambda x, _: rng.random(len(x)), lambda x, _: x.max() - x):
+        monkeypatch.setattr(html, "smooth", smooth)
+        assert sum(html.main_text(p) != t for p, t in pages) > 90
+
+
+def test_main_text_of_names_that_hold_the_page():
+    text = "<p>This is what the page has to say, in a good many words.</p><p>And a second paragraph of it.</p>"
+    want = "This is what the page has to say, in a good many words.\nAnd a second paragraph of it."
+    for page in ('<div class="social-policy">%s</div>', '<main><article class="related-work">%s</article></main>', '<div class="comments">%s</div>', '<div class="sidebar-layout"><article>%s</article></div>', "<head><title>t</title>%s", "<table><tr><td>%s</td></tr></table>"):
+        assert html.main_text(page % text) == want, page
+    for part in ("comments", "commentList", "comment-list", "ad-slot", "site_footer", "cookieBanner", "page__sidebar--dark"):
+        assert html.main_text(f'<body><div>{text}</div><div class="{part}"><p>Something that others have said of it, at a length that is as good.</p></div>') == want, part
+
+
+def test_main_text_of_malformed_markup():
+    for page, want in (("<p>a<![foo[x]]>b", "ab"), ("<p>a<![ 1]>b", "ab"), ("<p>a<![CDATA[x]]>b", "ab"), ("<p>a&#" + "1" * 5000 + ";b", "a\ufffdb"), ("<!foo><p>x</p>", "x"), ("<p>a<!-- <p>b", "a"), ("<p>a</b></q></zz>", "a"), ("<p>a<", "a<"), ("</p></p>a", "a")):
+        assert html.main_text(page) == want, page
+
+
+def test_main_text_is_linear_in_depth():
+    import time
+
+    for page in ("<div>" * 100_000 + "deep", "<div><p>x</p>" * 30_000, "<li><div>" * 30_000 + "x" + "</b></q>" * 30_000, "<article>" * 50_000 + "x", "<b class=ad>" * 30_000 + "x"):
+        start = time.process_time()
+        html.main_text(page)
+        assert time.process_time() - start < 10
+
+
 def test_op10_on_pages(spark):
     import html as std
 
