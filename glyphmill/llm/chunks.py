@@ -13,12 +13,12 @@ import functools
 import json
 import os
 import re
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 
 MAX_CACHE = 1 << 18  # pieces of a generation; there are two, and what is used goes from the old to the new
-JOINED = 2048  # new words that are encoded as one string
-SEPARATOR = "|"  # between them: it is cut from letters on both sides
 
 #: Letters of the Latin blocks up to U+024F that normalization and lower case keep one by one.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
@@ -30,6 +30,53 @@ BYTE_PIECE = re.compile(rf"{CONTRACTIONS}| ?[{LETTERS}]+| ?[0-9]+| ?[^{SPACE}{LE
 WORD_PIECE = re.compile(rf"{CONTRACTIONS}|[{LETTERS}]+|[0-9]|[^{SPACE}{LETTERS}0-9]+")
 
 
+#: The normalizers and pre-tokenizers that those patterns stand for (offsets don't matter here).
+BYTE_KIND = (None, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True})
+WORD_KIND = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+    ]},
+)
+
+
+def _without_offsets(part: object) -> object:
+    """A component without what concerns offsets only."""
+    if isinstance(part, dict):
+        return {k: _without_offsets(v) for k, v in part.items() if k != "trim_offsets"}
+    return [_without_offsets(x) for x in part] if isinstance(part, list) else part
+
+
+@functools.cache
+def _byte_letters() -> dict[int, str]:
+    """The byte alphabet of the characters below U+0250: printable Latin-1 bytes stand for themselves, the others follow from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    letter = {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x250)}
+
+
+class Memo(dict):
+    """Values by piece, made where they are missing; what two turns have not asked for is forgotten."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
+        self.make, self.most = make, most
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        value = self.old.get(piece)
+        if value is None:
+            value = self.make(piece)
+        self[piece] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class ChunkEncoder:
     """batch(texts): little-endian unsigned 32-bit ids of each, without the special tokens of a template."""
 
@@ -38,57 +85,31 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        kind = json.loads(self.tokenizer.to_str())
-        self.lower = (kind.get("normalizer") or {}).get("type") == "Sequence"
-        pre = kind["pre_tokenizer"]
-        known = pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and kind["normalizer"] is None or self.lower and pre["type"] == "Sequence" and [p["type"] for p in pre["pretokenizers"]] == ["Split", "ByteLevel"]
-        self.cut = (WORD_PIECE if self.lower else BYTE_PIECE).findall if known else None
-        self.special = re.compile("|".join(re.escape(t["content"]) for t in kind["added_tokens"]) or "(?!)")
-        self.max_cache = max_cache
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        (self.separator,) = self.tokenizer.encode("a" + SEPARATOR, add_special_tokens=False).ids[-1:]
+        whole = json.loads(self.tokenizer.to_str())
+        kind = _without_offsets(whole["normalizer"]), _without_offsets(whole["pre_tokenizer"])
+        self.lower = kind == WORD_KIND
+        plain = whole["model"]["type"] == "BPE" and not whole["model"].get("dropout") and not any(t["normalized"] for t in whole["added_tokens"])
+        self.cut = {True: (WORD_PIECE if self.lower else BYTE_PIECE).findall, False: None}[plain and (self.lower or kind == BYTE_KIND)]
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in whole["added_tokens"]) or "(?!)")
+        self.memo = Memo(self.piece, max_cache)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _add(self, new: list[str]) -> None:
-        words, rest = [], []
-        for p in new:
-            (words if p.lstrip(" ").isalpha() else rest).append(p)
-        for p, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.cache[p] = np.array(got.ids, "<u4").tobytes()
-        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
-        for group, got in zip(groups, self.tokenizer.encode_batch_fast([SEPARATOR.join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, "<u4")
-            at = np.flatnonzero(ids == self.separator)
-            if len(at) != len(group) - 1:
-                raise ValueError("the separator is not a token of its own")
-            data, last = ids.tobytes(), 0
-            for word, end in zip(group, [*(at * 4).tolist(), len(data)], strict=True):
-                self.cache[word] = data[last:end]
-                last = end + 4
+    def piece(self, piece: str) -> bytes:
+        """The ids of one piece by the library's model, in the byte alphabet that it is in."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(piece.translate(_byte_letters()))]).tobytes()
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; the pieces that are new are encoded together."""
-        cut: list[list[str] | None] = []
-        new: set[str] = set()
+        """The ids of each text."""
+        out = []
         for t in texts:
             if self.cut is None or OTHER.search(t) or self.special.search(t):
-                cut.append(None)
+                out.append(self.whole(t))
             else:
-                cut.append(pieces := self.cut(t.lower() if self.lower else t))
-                new.update(pieces)
-        if len(self.cache) > self.max_cache:
-            self.old, self.cache = self.cache, {}
-        found = new - self.cache.keys()
-        if again := found & self.old.keys():
-            self.cache.update({p: self.old[p] for p in again})
-            found -= again
-        if found:
-            self._add(list(found))
-        get = self.cache.__getitem__
-        return [self.whole(t) if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut, strict=True)]
+                out.append(b"".join(map(self.memo.__getitem__, self.cut(t.lower() if self.lower else t))))
+                self.memo.turn()
+        return out
 
 
 @functools.cache
