@@ -91,6 +91,7 @@ class ChunkEncoder:
         plain = whole["model"]["type"] == "BPE" and not whole["model"].get("dropout") and not any(t["normalized"] for t in whole["added_tokens"])
         self.cut = {True: (WORD_PIECE if self.lower else BYTE_PIECE).findall, False: None}[plain and (self.lower or kind == BYTE_KIND)]
         self.special = re.compile("|".join(re.escape(t["content"]) for t in whole["added_tokens"]) or "(?!)")
+        self.most_id = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         self.memo = Memo(self.piece, max_cache)
 
     def whole(self, text: str) -> bytes:

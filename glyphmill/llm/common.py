@@ -6,7 +6,7 @@ import atexit
 import ctypes
 import gc
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,11 @@ def dealt_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or LOCAL_SHARED where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir; LOCAL_SHARED where it is unset and all runs on one machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (path or LOCAL_SHARED).rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -62,7 +65,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes what written() wrote, which nothing may read any more."""
+    _delete(df.sparkSession, df.scratch_path)
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -93,27 +103,55 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(lean(run), schema)
 
 
+def _numbers(values: Sequence[float], kind: str) -> Column:
+    """A constant array, as one literal however long."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
 def key_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
-    """Up to parts - 1 ascending values of a long column that deal its rows out about evenly."""
+    """parts - 1 ascending values of a long column that deal its rows out about evenly (fewer where it has few).
+
+    Null counts as the least value.  A value of many rows stands in the list as often as it fills
+    parts, see dealt_bucket().
+    """
     if parts < 2:
         return []
-    at = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 20 * parts).alias("at")).first()["at"]
-    return sorted(set(at or []))
+    known = F.coalesce(F.col(key), F.lit(LEAST))
+    at = df.agg(F.percentile_approx(known, _numbers([i / parts for i in range(1, parts)], "double"), min(20 * parts, 10_000)).alias("at")).first()["at"]
+    return sorted(at or [])
+
+
+#: What a null key counts as.
+LEAST = -(1 << 63)
 
 
 def bucket_of(key: Column, bounds: list[int]) -> Column:
-    """How many of the bounds are at most the key (null: 0): ascending with the key.
+    """How many of the ascending bounds are at most the key (null: 0), by binary search in one constant array."""
+    if not bounds:
+        return F.lit(0)
+    values = _numbers(bounds, "bigint")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    # beyond the end there is null, which is no step on
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(values, at + step - 1) <= key, at + step).otherwise(at))
 
-    A balanced tree of comparisons: each row makes log2(len(bounds)) of them.
-    """
 
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(key >= F.lit(bounds[mid]), tree(mid + 1, high)).otherwise(tree(low, mid))
+def dealt_bucket(key: Column, spread: Column, bounds: list[int]) -> Column:
+    """The part of a row, 0 to len(bounds), ascending with the key.
 
-    return F.coalesce(tree(0, len(bounds)), F.lit(0)).cast("int")
+    A key that stands in the bounds more than once has too many rows for one part: they are dealt
+    over as many parts as it stands for, ascending with `spread`, a 64-bit hash of the row.
+    """
+    known = F.coalesce(key, F.lit(LEAST))
+    upper = bucket_of(known, bounds)
+    often = sorted({b for b, c in zip(bounds, bounds[1:], strict=False) if b == c})
+    if not often:
+        return upper
+    lower = {b: bounds.index(b) for b in often}
+    times = {b: bounds.count(b) for b in often}
+    nth = bucket_of(known, often) - 1
+    is_often = F.get(_numbers(often, "bigint"), nth) == known
+    share = (spread / F.lit(2.0**64) + 0.5) * F.get(_numbers([times[b] for b in often], "int"), nth)
+    return F.when(is_often, F.get(_numbers([lower[b] for b in often], "int"), nth) + 1 + F.least(F.floor(share).cast("int"), F.get(_numbers([times[b] for b in often], "int"), nth) - 1)).otherwise(upper)
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import SPACES, bucket_of, key_bounds, mix64, parallelism, table
+from .common import SPACES, dealt_bucket, key_bounds, mix64, parallelism, table
 
 BINS = 256
 BITS = 4
@@ -132,38 +132,44 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), F.lit(1.0)).when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(corrected)
 
 
-def with_next(docs: DataFrame, columns: list[str], bounds: list[int]) -> DataFrame:
-    """Adds next_<column> of each column: those of the next row by descending doc_id, after the last of the first.
+def with_next(docs: DataFrame, made: dict[str, Column], parts: int) -> DataFrame:
+    """Adds next_<column> of the text and of each made column (of the text): those of the next row by descending doc_id, after the last of the first.
 
-    Ties go by descending text, null doc_ids come last.  The rows are dealt by ranges of doc_id;
-    the next row of a range's last is the first of the next range that has one, and only those
-    first rows, one a range, are looked up.
+    Ties go by descending hash of the text, then by descending text; null doc_ids come last.  The
+    rows are dealt by ranges of doc_id, of which one of very many rows takes several; the next row
+    of a range's last is the first of the next range that has one, and only those first rows, one
+    a range, are looked up.  What is made of a text is made once, before the rows are dealt.
     """
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last()]
-    ranged = docs.withColumn("__range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(bucket_of(F.col("doc_id"), bounds)))
-    rows = F.struct(*[F.col(c).alias(c) for c in columns])
-    led = ranged.withColumn("__next", F.lead(rows).over(W.partitionBy("__range").orderBy(*order)))
-    # the first row of each range: by its greatest doc_id, then its greatest text
-    tops = ranged.groupBy("__range").agg(F.max("doc_id").alias("__top"))
-    heads = ranged.join(F.broadcast(tops), ["__range"]).where(F.col("doc_id").eqNullSafe(F.col("__top"))).groupBy("__range").agg(F.max(F.struct("text", *[c for c in columns if c != "text"])).alias("__head"))
-    ranges = sorted((r[0] for r in tops.select("__range").collect()), reverse=True)  # at most len(bounds) + 2
+    h = F.xxhash64("text")
+    bounds = key_bounds(docs.select("doc_id"), "doc_id", parts)
+    ranged = docs.withColumns({"__h": h, "__range": dealt_bucket(F.col("doc_id"), h, bounds)})
+    columns = ["text", *made]
+    order = [F.col("doc_id").desc_nulls_last(), F.col("__h").desc(), F.col("text").desc()]
+    led = ranged.withColumns(made).withColumn("__next", F.lead(F.struct(*columns)).over(W.partitionBy("__range").orderBy(*order)))
+    # the first row of each range: by its greatest doc_id and hash, from slim rows, then by its text
+    slim = ranged.groupBy("__range").agg(F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id", "__h")).alias("__top")).select("__range", F.col("__top.doc_id").alias("__d"), F.col("__top.__h").alias("__t"))
+    tops = slim.collect()  # at most `parts`
+    heads = ranged.join(F.broadcast(docs.sparkSession.createDataFrame(tops, "__range int, __d bigint, __t bigint")), "__range").where(F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t")))
+    heads = heads.groupBy("__range").agg(F.max("text").alias("text")).withColumns(made).select(F.col("__range").alias("__after"), F.struct(*columns).alias("__head"))
+    ranges = sorted((r[0] for r in tops), reverse=True)
     after = docs.sparkSession.createDataFrame([(r, ranges[(i + 1) % len(ranges)]) for i, r in enumerate(ranges)], "__range int, __after int")
-    followers = after.join(heads.withColumnRenamed("__range", "__after"), "__after").select("__range", "__head")
-    out = led.join(F.broadcast(followers), "__range", "left")
-    return out.select(*docs.columns, *[F.coalesce(F.col(f"__next.{c}"), F.when(F.col("__next").isNull(), F.col(f"__head.{c}"))).alias(f"next_{c}") for c in columns])
+    out = led.join(F.broadcast(after.join(heads, "__after").select("__range", "__head")), "__range", "left")
+    return out.select(*docs.columns, *made, *[F.coalesce(F.col(f"__next.{c}"), F.when(F.col("__next").isNull(), F.col(f"__head.{c}"))).alias(f"next_{c}") for c in columns])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text (null as empty) and the packed fingerprint of each document."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), fingerprint(text).alias("print"))
+    return plain(docs).withColumn("print", fingerprint(F.col("text")))
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    """doc_id and text (null as empty) of each document."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def op8_oph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and their likeness."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    bounds = key_bounds(docs.select("doc_id"), "doc_id", parallelism(spark))
-    led = with_next(fingerprints(docs), ["text", "print"], bounds)
+    led = with_next(plain(table(spark, sf_dir, "documents")), {"print": fingerprint(F.col("text"))}, parallelism(spark))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))

@@ -7,8 +7,9 @@ source takes block P(n mod blocks) by a pseudorandom permutation P of its own fo
 the source, and slots meet blocks in a join by index.  No block is taken more often than there are
 passes, two at most here.
 
-The one thing that comes to the driver is a row a source (at most MAX_SOURCES, checked) and a
-count for each source and shard (at most MAX_SHARDS shards).
+The counts of a shard follow from the quotas alone, by halves of the shards down a tree, so each
+task draws those of its own shards.  The one thing that comes to the driver is a row a source (at
+most MAX_SOURCES, checked).
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import WORD, bucket_of, dealt_table, key_bounds, lean, mix64, parallelism, written
+from .common import WORD, dealt_bucket, dealt_table, key_bounds, lean, mix64, parallelism, written
 
 MAX_SOURCES = 100_000
-MAX_SHARDS = 4096
+SPAN = 1 << 14  # slots that a task makes at once
 
 
 @dataclass(frozen=True)
@@ -82,22 +83,39 @@ def sources_of(sized: DataFrame, options: MixOptions) -> list[Source]:
     return out
 
 
-def shard_counts(quotas: list[int], options: MixOptions) -> np.ndarray:
-    """Blocks by shard and source: multinomial draws in proportion to what the quotas have left."""
-    left = np.array(quotas, np.int64)
-    total = int(left.sum())
-    shards = max(1, min(MAX_SHARDS, math.ceil(total / options.shard_blocks)))
-    rng, out = np.random.default_rng(options.seed), np.zeros((shards, len(quotas)), np.int64)
-    for i in range(shards):
-        size = total * (i + 1) // shards - total * i // shards
-        while size:
-            drawn = np.minimum(rng.multinomial(size, left / left.sum()), left)
-            out[i] += drawn
-            left -= drawn
-            size -= int(drawn.sum())  # what a quota could not give is drawn again
+def n_shards(quotas: list[int], options: MixOptions) -> int:
+    return max(1, math.ceil(sum(quotas) / options.shard_blocks))
+
+
+def drawn(left: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """Multinomial draws in proportion to what quotas have left, none beyond it."""
+    left, out = left.copy(), np.zeros_like(left)
+    while size:
+        got = np.minimum(rng.multinomial(size, left / left.sum()), left)
+        out += got
+        left -= got
+        size -= int(got.sum())  # what a quota could not give is drawn again
     return out
 
 
+def shard_counts(quotas: list[int], shard: int, shards: int, options: MixOptions) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of a shard by source, and those of all shards before it.
+
+    The shards are halved again and again; the draw for a half is seeded by its place alone, so
+    each shard is drawn for itself in as many draws as halvings, and all add up to the quotas.
+    """
+    left, before, low, high = np.array(quotas, np.int64), np.zeros(len(quotas), np.int64), 0, shards
+    total = int(left.sum())
+    while high - low > 1:
+        mid = (low + high) // 2
+        half = drawn(left, total * mid // shards - total * low // shards, np.random.default_rng((options.seed, low, high)))
+        if shard < mid:
+            left, high = half, mid
+        else:
+            left, before, low = left - half, before + half, mid
+    return left, before
+
+
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     """A pseudorandom permutation of range(n): a Feistel network over the next square, walked until inside."""
     half = np.uint64(max(1, (max(1, n - 1).bit_length() + 1) // 2))
@@ -115,44 +133,49 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 def mixture(spark: SparkSession, sources: list[Source], options: MixOptions) -> DataFrame:
     """rank, shard, slot, block: the block of a source that each slot of each shard takes."""
-    counts = shard_counts([s.quota for s in sources], options)
-    first = np.vstack([np.zeros((1, len(sources)), np.int64), np.cumsum(counts, axis=0)[:-1]])
-    step = 1 << 14
-    rows = [(s.rank, shard, int(first[shard, s.rank]) + at, int(min(step, counts[shard, s.rank] - at)), s.blocks, zlib.crc32(repr((options.seed, s.name)).encode())) for s in sources for shard in range(len(counts)) for at in range(0, int(counts[shard, s.rank]), step)]
+    quotas = [s.quota for s in sources]
+    shards = n_shards(quotas, options)
+    blocks, keys = [s.blocks for s in sources], [zlib.crc32(repr((options.seed, s.name)).encode()) for s in sources]
+    ranks = [s.rank for s in sources]
     schema = pa.schema([("rank", pa.int32()), ("shard", pa.int32()), ("slot", pa.int64()), ("block", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                slot = row["first"] + np.arange(row["n"])
-                passes, index = np.divmod(slot, row["blocks"])
-                block = np.empty_like(slot)
-                for p in np.unique(passes):
-                    own = passes == p
-                    block[own] = permuted(index[own], row["blocks"], row["key"] * 1_000_003 + int(p))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), row["rank"]), pa.int32()), pa.array(np.full(len(slot), row["shard"]), pa.int32()), pa.array(slot), pa.array(block)], schema=schema)
-
-    spans = spark.createDataFrame(rows, "rank int, shard int, first bigint, n bigint, blocks bigint, key bigint")
-    return spans.repartition(min(parallelism(spark), max(1, len(rows)))).mapInArrow(lean(run), "rank int, shard int, slot bigint, block bigint")
+            for shard in batch.column(0).to_pylist():
+                counts, before = shard_counts(quotas, shard, shards, options)
+                for i in np.flatnonzero(counts).tolist():
+                    for at in range(0, int(counts[i]), SPAN):
+                        slot = int(before[i]) + np.arange(at, min(at + SPAN, int(counts[i])))
+                        passes, index = np.divmod(slot, blocks[i])
+                        block = np.empty_like(slot)
+                        for p in np.unique(passes):
+                            own = passes == p
+                            block[own] = permuted(index[own], blocks[i], keys[i] * 1_000_003 + int(p))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), ranks[i]), pa.int32()), pa.array(np.full(len(slot), shard), pa.int32()), pa.array(slot), pa.array(block)], schema=schema)
+
+    if not sum(quotas):
+        return spark.createDataFrame([], "rank int, shard int, slot bigint, block bigint")
+    return spark.range(0, shards, 1, min(shards, 4 * parallelism(spark))).mapInArrow(lean(run), "rank int, shard int, slot bigint, block bigint")
 
 
 def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def placed(sized: DataFrame, sources: list[Source], keys: list[str]) -> DataFrame:
+def placed(sized: DataFrame, sources: list[Source]) -> DataFrame:
     """Adds rank and start, the words of a document's source before it.
 
-    Documents of a source follow by doc_id, then by keys; their sums go by ranges of doc_id, so
-    that a large source is summed in many tasks.
+    Documents of a source follow by doc_id, then by the hash h of their text, then by size; their
+    sums go by ranges of doc_id, of which one of very many rows takes several, so that a large
+    source is summed in many tasks.
     """
     spark = sized.sparkSession
     ranks = spark.createDataFrame([(s.name, s.rank) for s in sources], "__name string, rank int")
     bounds = key_bounds(sized.select("doc_id"), "doc_id", 4 * parallelism(spark))
-    ranged = sized.join(ranks, F.col("source").eqNullSafe(F.col("__name"))).drop("__name").withColumn("__range", bucket_of(F.col("doc_id"), bounds))
+    ranged = sized.join(ranks, F.col("source").eqNullSafe(F.col("__name"))).drop("__name").withColumn("__range", dealt_bucket(F.col("doc_id"), F.col("h"), bounds))
     sums = ranged.groupBy("rank", "__range").agg(F.sum("size").alias("sum"))
     ahead = sums.select(F.col("rank").alias("__rank"), F.col("__range").alias("__r"), F.coalesce(F.sum("sum").over(W.partitionBy("rank").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
-    own = F.coalesce(F.sum("size").over(W.partitionBy("rank", "__range").orderBy(F.col("doc_id").asc_nulls_first(), *keys).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.coalesce(F.sum("size").over(W.partitionBy("rank", "__range").orderBy(F.col("doc_id").asc_nulls_first(), "h", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return ranged.withColumn("__own", own).join(ahead, (F.col("rank") == F.col("__rank")) & (F.col("__range") == F.col("__r"))).withColumn("start", F.col("__own") + F.col("__ahead")).drop("__own", "__ahead", "__rank", "__r", "__range")
 
 
@@ -176,7 +199,7 @@ def mix(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
     text = F.col("text").cast("string")
     sized = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(text).alias("size"), F.xxhash64(text).alias("h")), "sized")
     sources = sources_of(sized, options)
-    at = written(placed(sized, sources, ["size", "h"]), "placed")
+    at = written(placed(sized, sources), "placed")
     taken = taken_blocks(at, mixture(spark, sources, options), options.block).groupBy("rank", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     facts = spark.createDataFrame([(s.rank, s.size, s.target) for s in sources], "rank int, source_size bigint, target double")
     named = at.join(facts, "rank")
@@ -197,7 +220,7 @@ def mixed_documents(docs: DataFrame, options: MixOptions = MixOptions()) -> Data
     keyed = docs.withColumns({"__id": F.col("doc_id").cast("bigint"), "__source": F.col("source").cast("string"), "__size": size_of(text), "__h": F.xxhash64(text)}).where("__size > 0")
     sized = written(keyed.select(F.col("__id").alias("doc_id"), F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__h").alias("h")), "sized")
     sources = sources_of(sized, options)
-    at = written(placed(sized, sources, ["size", "h"]), "placed")
+    at = written(placed(sized, sources), "placed")
     chosen = taken_blocks(at, mixture(spark, sources, options), options.block)
     # blocks of a document, of which there are as many as it has words for
     chosen = chosen.groupBy("rank", "start", "doc_id", "source", "h").agg(F.collect_list(F.struct("block", "times")).alias("__blocks"))

@@ -24,7 +24,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .chunks import encoder
-from .common import bucket_of, dealt_table, key_bounds, lean, mix64, parallelism, scratch, written
+from .common import LEAST, bucket_of, dealt_bucket, dealt_table, key_bounds, lean, mix64, parallelism, scratch, written
 
 MAGIC = b"GMIDS\x00\x01\x00"
 GAMMA = 2  # bits of a level for each key that reaches it
 END_ID = 1
-CACHED_PIECES = 3 << 17  # of a generation of a worker's cache (about 180 bytes each): nothing else is held there
+CACHED_PIECES = 5 << 16  # of a generation of a worker's cache (about 180 bytes each): nothing else is held there
 SHARD_IDS = 1 << 23  # ids after which a shard ends
 
 
@@ -106,17 +106,18 @@ def shard_bytes(keys: list[int | None], data: list[bytes], width: int) -> bytes:
 
 
 class Shard:
-    """A shard's bytes, read in place."""
+    """A shard, of which the index is read at once and ids as they are asked for."""
 
-    def __init__(self, data: bytes) -> None:
-        magic, self.width, self.n_docs, self.n_ids, n_keys, self.nulls, levels = struct.unpack_from("<8s6Q", data)
+    def __init__(self, read: Callable[[int, int], bytes]) -> None:
+        """read: bytes from a place on, so many."""
+        magic, self.width, self.n_docs, self.n_ids, n_keys, self.nulls, levels = struct.unpack("<8s6Q", read(0, 56))
         if magic != MAGIC:
             raise ValueError("not a shard of token ids")
         at = 56
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
-            out = np.frombuffer(data, kind, n, at)
+            out = np.frombuffer(read(at, n * np.dtype(kind).itemsize), kind, n)
             at += out.nbytes
             return out
 
@@ -126,7 +127,12 @@ class Shard:
         self.index.ranks = take("<u8", n_words)
         self.prints, self.record, self.records = take("<u4", n_keys), take("<u8", n_keys), take("<u8", n_keys)
         self.starts, self.keys = take("<u8", self.n_docs + 1), take("<i8", self.n_docs)
-        self.ids = take(f"<u{self.width}", self.n_ids)
+        self._read, self._payload = read, at
+
+    @staticmethod
+    def of(data: bytes) -> Shard:
+        view = memoryview(data)
+        return Shard(lambda at, n: view[at : at + n])
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First document and number of documents of each key; -1 and 0 where it is not here."""
@@ -137,40 +143,58 @@ class Shard:
         return np.where(there, self.record[slot].astype(np.int64), -1), np.where(there, self.records[slot].astype(np.int64), 0)
 
     def document(self, i: int) -> np.ndarray:
-        return self.ids[int(self.starts[i]) : int(self.starts[i + 1])]
+        start, end = int(self.starts[i]), int(self.starts[i + 1])
+        return np.frombuffer(self._read(self._payload + start * self.width, (end - start) * self.width), f"<u{self.width}")
 
     def get(self, key: int | None) -> list[np.ndarray]:
         """The ids of each document of a key, in constant time but for their length."""
         if key is None:
             return [self.document(i) for i in range(self.nulls)]
         first, n = (int(x[0]) for x in self.find(np.array([key], np.int64)))
-        return [self.document(first + i) for i in range(n)]
+        return [self.document(first + i) for i in range(n) if self.keys[first + i] == key]
+
+
+def width_for(tokenizer: str, end_id: int) -> int:
+    """Bytes that hold every id of a tokenizer: 2 or 4."""
+    return 2 if max(encoder(tokenizer, CACHED_PIECES).most_id, end_id) < 1 << 16 else 4
+
 
+def narrowed(data: bytes, width: int) -> bytes:
+    """Unsigned 32-bit ids in `width` bytes each; an id that doesn't fit is an error."""
+    ids = np.frombuffer(data, "<u4")
+    if width < 4 and len(ids) and ids.max() >= 1 << (8 * width):
+        raise ValueError(f"an id of {ids.max()} doesn't fit in {width} bytes")
+    return ids.astype(f"<u{width}").tobytes()
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, width: int = 2) -> DataFrame:
+
+def encode(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame:
     """doc_id, ids binary: the ids of each whole text, then end_id, in `width` bytes each."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_all = encoder(tokenizer, CACHED_PIECES).batch
-        end = np.array([end_id], f"<u{width}").tobytes()
+        end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                data = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() + end for x in encode_all([t or "" for t in batch.column(1).to_pylist()])]
+                data = [narrowed(x + end, width) for x in encode_all([t or "" for t in batch.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], schema=schema)
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id bigint, ids binary")
 
 
-def write_shards(encoded: DataFrame, path: str, bounds: list[int], width: int = 2, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """Writes shards under path in ascending doc_id; gives bucket, part, file, n_docs, n_ids of each.
+MANIFEST = "bucket int, part int, file string, n_docs bigint, n_ids bigint, n_nulls bigint, low bigint, high bigint"
+
+
+def write_shards(encoded: DataFrame, path: str, bounds: list[int], width: int, shard_ids: int = SHARD_IDS) -> DataFrame:
+    """Writes shards under path in ascending doc_id; gives the MANIFEST, a row a shard with its least and greatest key.
 
     The rows are dealt by ascending ranges of doc_id, one task a range; a task holds one shard in
-    memory.  A file appears under its name only when it is whole, so a task may run again.
-    Repeated doc_ids stand side by side; one that no bound can split makes several shards.
+    memory.  A file gets its name, which no other attempt of the task has, when it is whole; those
+    that the manifest doesn't name are not read.  Documents of one doc_id stand side by side, by a
+    hash of their ids; a doc_id of very many documents takes several ranges.
     """
-    schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+    schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_nulls", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -182,14 +206,16 @@ def write_shards(encoded: DataFrame, path: str, bounds: list[int], width: int =
 
         def flush() -> pa.RecordBatch:
             nonlocal keys, data, part, n
-            name, new = f"{bucket:06d}-{part:06d}.ids", f"_{uuid.uuid4().hex}"
+            attempt = uuid.uuid4().hex
+            name = f"{bucket:06d}-{part:06d}-{attempt}.ids"
             store.create_dir(root, recursive=True)
-            with store.open_output_stream(f"{root}/{new}") as out:
+            with store.open_output_stream(f"{root}/_{attempt}") as out:
                 out.write(shard_bytes(keys, data, width))
-            store.move(f"{root}/{new}", f"{root}/{name}")
-            row = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((bucket, part, name, len(keys), n), schema.types, strict=True)], schema=schema)
+            store.move(f"{root}/_{attempt}", f"{root}/{name}")
+            known = [k for k in keys if k is not None]
+            row = bucket, part, name, len(keys), n, len(keys) - len(known), min(known, default=None), max(known, default=None)
             keys, data, part, n = [], [], part + 1, 0
-            return row
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types, strict=True)], schema=schema)
 
         for batch in batches:
             for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -201,8 +227,9 @@ def write_shards(encoded: DataFrame, path: str, bounds: list[int], width: int =
         if keys:
             yield flush()
 
-    dealt = encoded.repartitionById(len(bounds) + 1, bucket_of(F.col("doc_id"), bounds)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    return dealt.mapInArrow(lean(run), "bucket int, part int, file string, n_docs bigint, n_ids bigint")
+    hashed = encoded.withColumn("__h", F.xxhash64("ids"))
+    dealt = hashed.repartitionById(len(bounds) + 1, dealt_bucket(F.col("doc_id"), F.col("__h"), bounds)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "__h", "ids")
+    return dealt.select("doc_id", "ids").mapInArrow(lean(run), MANIFEST)
 
 
 def read_shards(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
@@ -212,7 +239,7 @@ def read_shards(spark: SparkSession, path: str, manifest: DataFrame) -> DataFram
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                shard = Shard(content.as_py())
+                shard = Shard.of(content.as_py())
                 keys = shard.keys[shard.nulls :]
                 distinct = np.unique(keys)
                 first, n = shard.find(distinct)
@@ -238,14 +265,56 @@ def read_shards(spark: SparkSession, path: str, manifest: DataFrame) -> DataFram
     return rows.join(shards, "file").select("doc_id", (F.col("ahead") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, width: int = 2) -> DataFrame:
+def lookup(keys: DataFrame, path: str, manifest: DataFrame) -> DataFrame:
+    """doc_id, ids array<bigint> of each document that has one of the keys (a column doc_id), from the files.
+
+    A shard is opened only where its range holds a key, once, and of it the index and the ids
+    found are read.  Repeated keys count once; a null key gives the documents without doc_id;
+    keys that no document has give no rows.
+    """
+    spark = keys.sparkSession
+    wanted = keys.select(F.col("doc_id").cast("bigint").alias("__key")).distinct()
+    # by the greatest key of each range, one row a range on the driver, a key finds the first range that may have it
+    tops = manifest.where(F.col("high").isNotNull()).groupBy("bucket").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("bucket").collect()
+    first = F.when(F.col("__key") > LEAST, bucket_of(F.col("__key") - 1, [r["high"] for r in tops])).otherwise(0)  # ranges that end below it
+    last = bucket_of(F.col("__key"), [r["low"] for r in tops])  # ranges that begin at or below it
+    places = spark.createDataFrame([(i, r["bucket"]) for i, r in enumerate(tops)], "__place int, __bucket int")
+    known = wanted.where(F.col("__key").isNotNull()).withColumn("__place", F.explode(F.when(first < last, F.sequence(first, last - 1)).otherwise(F.array().cast("array<int>"))))
+    near = known.join(places, "__place").join(manifest.select("bucket", "file", "low", "high"), F.col("__bucket") == F.col("bucket")).where("__key between low and high")
+    nulls = wanted.where(F.col("__key").isNull()).join(manifest.where("n_nulls > 0").select("file", F.lit(True).alias("__nulls")), F.col("__nulls"))
+    need = near.select("file", "__key").unionByName(nulls.select("file", "__key"))
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        name, source, shard = None, None, None
+        for batch in batches:
+            for file, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if file != name:
+                    if source is not None:
+                        source.close()
+                    name, source = file, store.open_input_file(f"{root}/{file}")
+                    shard = Shard(lambda at, n, s=source: s.read_at(n, at))
+                for ids in shard.get(key):
+                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([ids.astype(np.int64).tolist()], pa.list_(pa.int64()))], schema=schema)
+        if source is not None:
+            source.close()
+
+    return need.repartition("file").sortWithinPartitions("file").mapInArrow(lean(run), "doc_id bigint, ids array<bigint>")
+
+
+def token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, width: int | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Writes the ids of docs under path; the manifest of its shards, itself written.
 
-    A null or empty text has end_id alone; null doc_ids stand first; of repeated doc_ids all
-    documents are kept, in order of their ids.  An empty table has no shards.
+    width: bytes an id, by default as many as the vocabulary needs; an id that doesn't fit is an
+    error.  A null or empty text has end_id alone; null doc_ids stand first; of repeated doc_ids
+    all documents are kept.  An empty table has no shards.
     """
+    width = width or width_for(tokenizer, end_id)
     bounds = key_bounds(docs.select(F.col("doc_id").cast("bigint")), "doc_id", parallelism(docs.sparkSession))
-    return written(write_shards(encode(docs, tokenizer, end_id, width), path, bounds, width), "shards")
+    return written(write_shards(encode(docs, tokenizer, end_id, width), path, bounds, width, shard_ids), "shards")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

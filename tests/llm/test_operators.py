@@ -8,9 +8,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glyphmill.llm import chunks, dedup, fingerprint, html, mixing, packing, quality, rules, tokens, urls, warc
-from glyphmill.llm.common import bucket_of, words_of
+from glyphmill.llm.common import bucket_of, dealt_bucket, key_bounds, words_of
 from glyphmill.llm.queries import oracle_sql, queries
 
 from .fixtures import DOCS, LONG, NEAR, PROSE, ROWS, SF, documents, no_documents, save
@@ -46,11 +47,21 @@ def test_words_are_parted_by_ascii_space_only():
 
 
 def test_bucket_of_is_ascending(spark):
-    rows = spark.range(-3, 12).selectExpr("id").select("id", bucket_of(__import__("pyspark").sql.functions.col("id"), [0, 4, 9])).collect()
-    assert [r[1] for r in rows] == [bisect.bisect_right([0, 4, 9], r[0]) for r in rows]
+    import bisect
 
+    for bounds in ([], [0], [0, 4, 9], [-2, -2, 3, 3, 3, 8], list(range(-1000, 1000, 7))):
+        rows = spark.range(-12, 12).select("id", bucket_of(F.col("id"), bounds).alias("b")).collect()
+        assert [r["b"] for r in rows] == [bisect.bisect_right(bounds, r["id"]) for r in rows]
+    assert spark.sql("select cast(null as bigint) id").select(bucket_of(F.col("id"), [0])).first()[0] == 0
 
-# --- 1: near duplicates ---
+
+def test_dealt_bucket_splits_hot_keys(spark):
+    ids = spark.range(3000).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id")).alias("k"), F.xxhash64("id").alias("h"))
+    bounds = key_bounds(ids, "k", 30)
+    rows = ids.select("k", "h", dealt_bucket(F.col("k"), F.col("h"), bounds).alias("b")).collect()
+    rows.sort(key=lambda r: (r["k"] is not None, r["k"] or 0, r["h"]))
+    got = [r["b"] for r in rows]
+    assert got == sorted(got) and min(got) >= 0 and max(got) <= 29 and max(Counter(got).values()) < 250
 
 
 @pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95])
@@ -281,8 +292,22 @@ def test_targets_share_the_excess():
 
 
 def test_shard_counts_add_up_to_the_quotas():
-    counts = mixing.shard_counts([1000, 0, 37, 5000], mixing.MixOptions(shard_blocks=500))
-    assert counts.sum(axis=0).tolist() == [1000, 0, 37, 5000] and len(counts) == 13
+    options, quotas = mixing.MixOptions(shard_blocks=500), [1000, 0, 37, 5000]
+    n = mixing.n_shards(quotas, options)
+    made = [mixing.shard_counts(quotas, i, n, options) for i in range(n)]
+    assert n == 13 and sum(c for c, _ in made).tolist() == quotas and all(abs(int(c.sum()) - 6037 / 13) <= 1 for c, _ in made)
+    before = np.zeros(4, np.int64)
+    for counts, ahead in made:  # each shard knows those before it without drawing them
+        assert ahead.tolist() == before.tolist() and (counts >= 0).all()
+        before += counts
+    assert np.std([c[0] for c, _ in made]) > 1  # drawn, not dealt out evenly
+
+
+def test_shards_are_not_bounded(spark):
+    options = mixing.MixOptions(shard_blocks=2, block=1)
+    sources = [mixing.Source("a", 0, 9000, 9000.0, 9000, 9000), mixing.Source(None, 1, 300, 600.0, 300, 600)]
+    rows = mixing.mixture(spark, sources, options).collect()
+    assert max(r["shard"] for r in rows) == 4799 and Counter((r["rank"], r["block"]) for r in rows) == Counter({(0, i): 1 for i in range(9000)} | {(1, i): 2 for i in range(300)})
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 64, 1000])
@@ -477,23 +502,31 @@ def test_bins_and_densification_equal_brute_force(spark):
         assert r["v"] == brute_oph(rows[r["i"]][1])
 
 
+def by_hash(text):
+    """The hash that ties of doc_id go by."""
+    import xxhash
+
+    return np.uint64(xxhash.xxh64_intdigest(text.encode(), seed=42)).astype(np.int64).item()
+
+
 def test_op8(spark, odd, empty):
-    rows = fingerprint.op8_oph_fingerprints(spark, SF).collect()
-    docs = sorted(((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()), reverse=True)
-    got = {r["doc_id"]: r for r in rows}
-    errors = []
-    for (i, t), (_, after) in zip(docs, docs[1:] + docs[:1], strict=True):
-        cut = len(t) // 3
-        edited = t[: len(t) - cut] + after[:cut]
-        assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        errors += [got[i]["near_edited"] - jaccard(sets(t), sets(edited)), got[i]["near_next"] - jaccard(sets(t), sets(after))]
-    assert abs(np.mean(errors)) < 0.02 and np.sqrt(np.mean(np.square(errors))) < 0.05
+    for rows, found in ((fingerprint.op8_oph_fingerprints(spark, SF).collect(), [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]), (fingerprint.op8_oph_fingerprints(spark, odd).collect(), [(r[0], r[1] or "") for r in ROWS])):
+        docs = sorted(found, key=lambda d: (d[0] is not None, d[0] or 0, by_hash(d[1]), d[1]), reverse=True)
+        left = [tuple(r[k] for k in ("doc_id", "n_chars", "edited_sha256", "near_edited", "near_next")) for r in rows]
+        errors = []
+        for (i, t), (_, after) in zip(docs, docs[1:] + docs[:1], strict=True):
+            cut = len(t) // 3
+            edited = t[: len(t) - cut] + after[:cut]
+            row = next(r for r in left if r[:3] == (i, len(t), hashlib.sha256(edited.encode()).hexdigest()))
+            left.remove(row)
+            errors += [row[3] - jaccard(sets(t), sets(edited)), row[4] - jaccard(sets(t), sets(after))] if t.split() else []
+            assert 0 <= row[3] <= 1 and 0 <= row[4] <= 1
+        assert not left and abs(np.mean(errors)) < 0.02 and np.sqrt(np.mean(np.square(errors))) < 0.05
     by = defaultdict(set)
-    for i, t in docs:
-        by[t].add(got[i]["fingerprint"])
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in fingerprint.op8_oph_fingerprints(spark, SF).collect():
+        by[texts[r["doc_id"]]].add(r["fingerprint"])
     assert all(len(x) == 1 for x in by.values())
-    made = fingerprint.op8_oph_fingerprints(spark, odd).collect()
-    assert len(made) == len(ROWS) and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in made)
     assert fingerprint.op8_oph_fingerprints(spark, empty).count() == 0
 
 
@@ -511,18 +544,19 @@ def test_perfect_hash():
 def test_shards_give_every_document_by_key():
     keys = [None, None, -3, 1, 1, 9]
     data = [np.array(x, "<u2").tobytes() for x in ([1], [2, 2], [3], [], [4, 4], [5] * 9)]
-    shard = tokens.Shard(tokens.shard_bytes(keys, data, 2))
+    shard = tokens.Shard.of(tokens.shard_bytes(keys, data, 2))
     assert [x.tolist() for x in shard.get(None)] == [[1], [2, 2]] and [x.tolist() for x in shard.get(1)] == [[], [4, 4]] and [x.tolist() for x in shard.get(9)] == [[5] * 9]
     assert all(shard.get(k) == [] for k in (0, 2, 8, 10, 2**40))
-    assert tokens.Shard(tokens.shard_bytes([], [], 4)).get(1) == []
+    assert tokens.Shard.of(tokens.shard_bytes([], [], 4)).get(1) == []
 
 
 def check_tokens(rows, docs):
+    import xxhash
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORD)
     want, start = [], 0
-    for doc_id, ids in sorted(((i, t.encode(x or "", add_special_tokens=False).ids + [1]) for i, x in docs), key=lambda d: (d[0] is not None, d[0] or 0, np.array(d[1], "<u2").tobytes())):
+    for doc_id, ids in sorted(((i, t.encode(x or "", add_special_tokens=False).ids + [1]) for i, x in docs), key=lambda d: (d[0] is not None, d[0] or 0, np.uint64(xxhash.xxh64_intdigest(np.array(d[1], "<u2").tobytes(), seed=42)).astype(np.int64).item())):
         want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted(map(tuple, rows), key=lambda r: r[1]) == want
@@ -534,6 +568,40 @@ def test_op9(spark, odd, empty):
     assert tokens.op9_token_files(spark, empty).count() == 0
 
 
+def test_lookup_reads_documents_by_key_from_the_files(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORD)
+    docs = documents(spark)
+    path = f"file://{tmp_path}/ids"
+    manifest = tokens.token_files(docs, WORD, path, shard_ids=2000)
+    assert manifest.count() > 3 and sum(r["n_docs"] for r in manifest.collect()) == len(ROWS)
+    keys = spark.createDataFrame([(k,) for k in (None, -5, 1, 1, 8, 12, 14, 99, -(1 << 63))], "doc_id bigint")
+    got = Counter((r["doc_id"], tuple(r["ids"])) for r in tokens.lookup(keys, path, manifest).collect())
+    assert got == Counter((r[0], (*t.encode(r[1] or "", add_special_tokens=False).ids, 1)) for r in ROWS if r[0] in (None, -5, 1, 8, 12, 14))
+    assert tokens.lookup(keys.limit(0), path, manifest).count() == 0
+
+
+def test_ids_that_do_not_fit_are_an_error():
+    assert tokens.narrowed(np.array([65535, 1], "<u4").tobytes(), 2) == np.array([65535, 1], "<u2").tobytes()
+    with pytest.raises(ValueError, match="70000"):
+        tokens.narrowed(np.array([70000], "<u4").tobytes(), 2)
+    assert tokens.width_for(WORD, 1) == 2 and tokens.width_for(WORD, 70_000) == 4
+
+
+def test_only_tokenizers_of_known_parts_are_cut_here(tmp_path):
+    import json
+
+    with open(WORD) as file:
+        config = json.load(file)
+    config["normalizer"] = {"type": "NFC"}
+    (tmp_path / "nfc.json").write_text(json.dumps(config))
+    encoder = chunks.ChunkEncoder(str(tmp_path / "nfc.json"))
+    texts = ["The End of ABC 12", "É x"]
+    assert encoder.cut is None and encoder.batch(texts) == [encoder.whole(t) for t in texts]
+    assert chunks.ChunkEncoder(WORD).cut and chunks.ChunkEncoder(BYTE).cut
+
+
 # --- 10: main text ---
 
 
