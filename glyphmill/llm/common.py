@@ -31,6 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of df has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def dealt_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table, dealt over all cores where its files are too few to fill half of them, as with one small file."""
     df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism

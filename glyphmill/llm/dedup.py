@@ -7,14 +7,16 @@ elements.  Each dart has a hashed coordinate of the signature, and the earliest
 coordinate is kept.  Two documents agree on a coordinate with the probability of their weighted
 Jaccard similarity, and a signature of k coordinates takes O(n + k log k) darts, not n * k.
 
-Documents are sets of five-word shingles by default (weights of one), so that this is the plain
-Jaccard similarity; with weights="count" a shingle weighs as often as it occurs.
+Documents are weighted sets of five-word shingles: a shingle weighs as often as it occurs.  With
+weights="set" all weigh one, so that this is the plain Jaccard similarity.
 
 Equal texts (equal words in order) are one node.  A band of equal coordinates makes two nodes
 candidates.  In a bucket of a band all are compared with its hub, the member that meets most
-others over all bands, and then members that are still apart with each other, so a large group of
-copies costs one comparison a member.  Links are verified on the shingles themselves; classes are
-the connected components of verified links.
+others over all bands, so a large group of copies costs one comparison a member.  Members of
+buckets that are still in different components are then joined by the rare ones of their shingles
+(a prefix filter: two that are similar enough share one, whatever else they have), which loses no
+link.  Links are verified on the whole shingles; classes are the connected components of verified
+links.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import SPACES, WORD, dealt_table, lean, map_batches, mix64, unit, words_of, written
+from .common import SPACES, WORD, dealt_table, lean, map_batches, mix64, release, unit, words_of, written
 
 
 @dataclass(frozen=True)
@@ -40,7 +42,7 @@ class DedupOptions:
     similarity: float = 0.8
     bands: int = 28
     rows: int = 5
-    weights: str = "set"  # or "count"
+    weights: str = "count"  # or "set"
 
 
 # --- signatures ---
@@ -193,19 +195,19 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, options: DedupOptions) -> D
 
 
 def _packed(text: str, options: DedupOptions) -> bytes:
-    """Shingle hashes cut to 32 bits (two that fall together change a similarity by one in their number)."""
+    """The 64-bit shingle hashes of a text, ascending; then how often each occurs, if that counts."""
     elements, counts = shingles(text, options.shingle)
-    short, at = np.unique((elements >> np.uint64(32)).astype("<u4"), return_inverse=True)
     if options.weights == "set":
-        return short.tobytes()
-    return short.tobytes() + np.bincount(at, counts).astype("<u4").tobytes()
+        return elements.astype("<u8").tobytes()
+    return elements.astype("<u8").tobytes() + counts.astype("<u4").tobytes()
 
 
 def _unpacked(data: bytes, options: DedupOptions) -> tuple[np.ndarray, np.ndarray]:
-    values = np.frombuffer(data, "<u4")
     if options.weights == "set":
+        values = np.frombuffer(data, "<u8")
         return values, np.ones(len(values), np.int64)
-    return values[: len(values) // 2], values[len(values) // 2 :].astype(np.int64)
+    n = len(data) // 12
+    return np.frombuffer(data, "<u8", n), np.frombuffer(data, "<u4", n, 8 * n).astype(np.int64)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, options: DedupOptions) -> DataFrame:
@@ -228,62 +230,44 @@ def verified(pairs: DataFrame, sets: DataFrame, options: DedupOptions) -> DataFr
 
 # --- members of a bucket that its hub does not link ---
 
-LONG = 512  # coordinates of the signatures that they are compared by
-SLACK = 4.0  # standard errors below the similarity at which a pair is still verified (one in 30,000 lies lower)
-BLOCK = 256  # members that are compared with as many at once
 
+def tokens_of(members: DataFrame, sets: DataFrame, options: DedupOptions) -> DataFrame:
+    """node, size, root, token: the shingles of the members, one for each time that it counts."""
 
-def long_signatures(sets: DataFrame, options: DedupOptions) -> DataFrame:
-    """node, sig binary: LONG coordinates of a byte each."""
-
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = []
-        for data in batch.column("set").to_pylist():
-            elements, weights = _unpacked(data, options)
-            made.append((dart_minhash(mix64(elements.astype(np.uint64) + np.uint64(1)), weights.astype(np.float64), LONG) >> np.uint64(32)).astype(np.uint8).tobytes())
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], names=["node", "sig"])
-
-    return map_batches(sets.select("node", "set"), each, "node binary, sig binary")
-
-
-def close_pairs(rows: DataFrame, options: DedupOptions) -> DataFrame:
-    """a, b of (key, n, node, size, root, sig, keys): members of one bucket but different components whose signatures are close.
-
-    A pair is looked at in the bucket of the first band that it shares, and in no other.
-
-    A bucket is cut into blocks, and each two blocks meet in a task of their own, which gives
-    only the pairs that are close: no task holds more than two blocks, whatever the bucket.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, data in enumerate(batch.column("set").to_pylist()):
+                elements, counts = _unpacked(data, options)
+                tokens = elements
+                if counts.max(initial=1) > 1:  # the n-th time that a shingle occurs is a token of its own
+                    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                    repeated = np.repeat(elements, counts)
+                    with np.errstate(over="ignore"):
+                        tokens = np.where(nth == 0, repeated, mix64(repeated + _GOLD * nth.astype(np.uint64)))
+                one = pa.array(np.full(len(tokens), i))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(one) for c in ("node", "size", "root")], pa.array(tokens.astype(np.int64))], names=["node", "size", "root", "token"])
+
+    return members.join(sets, "node").select("node", "size", "root", "set").mapInArrow(lean(run), "node binary, size int, root binary, token bigint")
+
+
+def rare_pairs(members: DataFrame, sets: DataFrame, options: DedupOptions) -> DataFrame:
+    """a, b: distinct pairs of members (node, size, root) of different roots that may be similar enough; none that is gets lost.
+
+    Of n tokens in any order that all documents share, two that are similar enough have one in
+    common among their first n - ceil(similarity * n) + 1.  The order is from the rarest token on,
+    so tokens that many members have seldom count, and those that one alone has match nothing.
     """
-    chance = 1 / 256
-    least = options.similarity - SLACK * math.sqrt(options.similarity * (1 - options.similarity) / LONG)
-    equal = math.floor(LONG * (least + (1 - least) * chance))
-
-    def run(group: pa.Table) -> pa.Table:
-        nodes, roots = group.column("node").to_pylist(), np.array(group.column("root").to_pylist(), object)
-        own, first = group.column("block").to_numpy(), group.column("low").to_numpy()
-        sizes = group.column("size").to_numpy()
-        keys = np.array(group.column("keys").to_pylist(), np.int64)
-        band = int(np.flatnonzero(keys[0] == group.column("key")[0].as_py())[0])
-        sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(nodes), LONG)
-        one = (own[0] == first[0]) and (own == own[0]).all() and group.column("high")[0].as_py() == first[0]
-        left = np.flatnonzero(own == first)
-        right = left if one else np.flatnonzero(own != first)
-        found_a, found_b = [], []
-        for n, i in enumerate(left):
-            others = right[n + 1 :] if one else right
-            fit = np.minimum(sizes[others], sizes[i]) >= options.similarity * np.maximum(sizes[others], sizes[i])
-            others = others[fit & (roots[others] != roots[i])]
-            others = others[(keys[others, : band + 1] == keys[i, : band + 1]).argmax(axis=1) == band]
-            for j in others[np.count_nonzero(sigs[others] == sigs[i], axis=1) >= equal]:
-                found_a.append(nodes[i])
-                found_b.append(nodes[j])
-        return pa.table({"a": pa.array(found_a, pa.binary()), "b": pa.array(found_b, pa.binary())})
-
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    cut = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    return met.groupBy("key", "low", "high").applyInArrow(run, "a binary, b binary")
+    tokens = tokens_of(members, sets, options)
+    often = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    shared = tokens.join(often, "token")
+    own = W.partitionBy("node")
+    rank = F.row_number().over(own.orderBy("n", "token")) + F.col("size") - F.count("*").over(own)  # after those that it has alone
+    first = written(shared.withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * options.similarity - 1e-6) + 1).select("token", "node", "size", "root"), "rare")
+    mixed = first.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    left = first.join(mixed, "token")
+    right = left.select("token", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
+    fit = F.least("size", "size_b") >= F.greatest("size", "size_b") * options.similarity
+    return left.join(right, (left["token"] == right["token"]) & (F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & fit).select(F.col("node").alias("a"), "b").distinct()
 
 
 # --- components ---
@@ -304,7 +288,8 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
         roots = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(roots, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(roots.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "links")
+        last, edges = edges, written(small, "links")
+        release(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -342,17 +327,14 @@ def near_duplicates(docs: DataFrame, options: DedupOptions = DedupOptions()) ->
     sets = written(shingle_sets(docs, rows.select("node").distinct(), options), "sets")
     links = written(verified(pairs, sets, options), "verified")
     roots = components(links)
-    # members of a bucket that are still apart: all of them are compared, but for those in one component
+    # buckets whose members are still in different components: those members are compared by their rare shingles
     named = rows.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key", "n")
-    left = written(named.join(apart, "key"), "apart")
-    if left.isEmpty():
+    apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key")
+    members = written(named.join(apart, "key").select("node", "size", "root").distinct(), "apart")
+    if members.isEmpty():
         return roots
-    members = left.select("node").distinct()
-    described = long_signatures(sets.join(members, "node"), options).join(nodes.select("node", "keys"), "node")
-    cross = close_pairs(left.join(described, "node"), options)
     tested = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = written(cross.join(tested, ["a", "b"], "left_anti"), "rest")
+    rest = written(rare_pairs(members, sets, options).join(tested, ["a", "b"], "left_anti"), "rest")
     more = written(verified(rest, sets, options), "verified")
     if more.isEmpty():
         return roots
@@ -367,10 +349,37 @@ def classes(docs: DataFrame, options: DedupOptions = DedupOptions()) -> DataFram
     Repeated rows fall in one class and each has its row.  An empty table has none.
     """
     roots = near_duplicates(docs, options)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), node_of(F.col("text").cast("string")).alias("node"))
-    named = rows.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    least = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "root", "left").select("doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("class_id"))
+    node = node_of(F.col("text").cast("string"))
+    # documents without words meet nothing: each has a key of its own, shorter or longer than a digest
+    alone = F.encode(F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null in "), F.spark_partition_id().cast("string")))), "UTF-8")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(node, alone).alias("node"), node.isNotNull().alias("worded"))
+    # the least doc_id of each text, then of each class; texts and classes of very many members are summed in each task first
+    texts = written(rows.where("worded").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "texts")
+    linked = written(texts.join(roots, "node").select("node", "root", "least"), "linked")
+    named = linked.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("often"))
+    of_text = spread_join(linked.select("node", "root"), named, "root", "node", linked.count()).select("node", "class_id")
+    known = texts.join(of_text, "node", "left").select("node", F.coalesce("class_id", "least").alias("class_id"), F.col("n").alias("often"))
+    total = texts.agg(F.sum("n")).first()[0] or 0
+    return spread_join(rows, written(known, "known"), "node", "doc_id", total).select("doc_id", F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+
+
+#: A key of more than one in so many rows is joined in as many tasks.
+SPREAD = 1024
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, total: int) -> DataFrame:
+    """left (of `total` rows) with the row that right has of its key, if any.
+
+    right has each key once, with `often`, the rows of left that have it.  Keys of more than one
+    in SPREAD rows, of which there are fewer than SPREAD, are broadcast; their rows in left are
+    dealt by a hash of `by`, and those in right are repeated for each deal.
+    """
+    is_hot = F.col("often") * SPREAD > total
+    hot = right.where(is_hot).select(F.col(key).alias("__hot"))
+    deals = 64
+    salted = left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__deal", F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.lit(deals)).cast("int"))).drop("__hot")
+    wide = right.withColumn("__deal", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(deals - 1))).otherwise(F.array(F.lit(0))))).drop("often")
+    return salted.join(wide, [key, "__deal"], "left").drop("__deal")
 
 
 def keep_one(docs: DataFrame, options: DedupOptions = DedupOptions()) -> DataFrame:
@@ -387,13 +396,14 @@ def keep_one(docs: DataFrame, options: DedupOptions = DedupOptions()) -> DataFra
     wanted = written(roots.select("node").unionByName(copies.select("node")).distinct(), "wanted")
     n_blocks = blocks_for(wanted.count())
     blocks = bloom_blocks(wanted.select(F.hex("node").alias("key")), n_blocks)
-    tagged = docs.withColumn("__node", node).join(F.broadcast(blocks), bloom_place(F.hex("__node"), n_blocks) == F.col("__block"), "left")
-    hit = F.col("__node").isNotNull() & F.coalesce(bloom_hit(F.hex("__node")), F.lit(False))
-    names = docs.columns
-    grouped = tagged.where(hit).join(roots.select(F.col("node").alias("__member"), F.col("root").alias("__root")), F.col("__node") == F.col("__member"), "left")
-    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text"))
-    kept = grouped.groupBy(F.coalesce("__root", "__node").alias("__class")).agg(F.min_by(F.struct(*names), first).alias("__row")).select("__row.*")
-    return tagged.where(~hit).select(*names).unionByName(kept)
+    # the columns of docs stand in one of their own, so that none can clash
+    whole = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), node.alias("node"))
+    tagged = whole.join(F.broadcast(blocks), bloom_place(F.hex("node"), n_blocks) == F.col("__block"), "left")
+    hit = F.col("node").isNotNull() & F.coalesce(bloom_hit(F.hex("node")), F.lit(False))
+    grouped = tagged.where(hit).join(roots.select(F.col("node").alias("member"), "root"), F.col("node") == F.col("member"), "left")
+    first = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.col("row.text"))
+    kept = grouped.groupBy(F.coalesce("root", "node").alias("class")).agg(F.min_by("row", first).alias("row")).select("row.*")
+    return tagged.where(~hit).select("row.*").unionByName(kept)
 
 
 def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,29 +214,30 @@ def mixed_documents(docs: DataFrame, options: MixOptions = MixOptions()) -> Data
     with one line end between them, and n_chars (where there is one) is theirs.
     """
     spark = docs.sparkSession
-    names = docs.columns
+    names, schema = docs.columns, docs.schema
     text = F.col("text").cast("string")
-    row = W.partitionBy("__id", "__source", "__h").orderBy("__size")
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("bigint"), "__source": F.col("source").cast("string"), "__size": size_of(text), "__h": F.xxhash64(text)}).where("__size > 0")
-    sized = written(keyed.select(F.col("__id").alias("doc_id"), F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__h").alias("h")), "sized")
+    row = W.partitionBy("id", "source", "h").orderBy("size")
+    # the columns of docs stand in one of their own, so that none can clash
+    keyed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.col("source").cast("string").alias("source"), size_of(text).alias("size"), F.xxhash64(text).alias("h")).where("size > 0")
+    sized = written(keyed.select(F.col("id").alias("doc_id"), "source", "size", "h"), "sized")
     sources = sources_of(sized, options)
     at = written(placed(sized, sources), "placed")
     chosen = taken_blocks(at, mixture(spark, sources, options), options.block)
     # blocks of a document, of which there are as many as it has words for
-    chosen = chosen.groupBy("rank", "start", "doc_id", "source", "h").agg(F.collect_list(F.struct("block", "times")).alias("__blocks"))
+    chosen = chosen.groupBy("rank", "start").agg(F.collect_list(F.struct("block", "times")).alias("blocks"))
     nth = F.row_number().over(W.partitionBy("doc_id", "source", "h").orderBy("start"))
-    chosen = at.where("size > 0").join(chosen.select("rank", "start", "__blocks"), ["rank", "start"], "left").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("h").alias("__t"), F.col("start").alias("__start"), "__blocks", nth.alias("__n"))
-    both = keyed.withColumn("__nth", F.row_number().over(row)).join(chosen, F.col("__id").eqNullSafe(F.col("__d")) & F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__h") == F.col("__t")) & (F.col("__nth") == F.col("__n"))).where(F.col("__blocks").isNotNull())
-    need = both.select(*names, "__start", F.transform("__blocks", lambda b: b["block"]).alias("__block"), F.transform("__blocks", lambda b: b["times"]).alias("__times"))
+    chosen = at.where("size > 0").join(chosen, ["rank", "start"], "left").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("h").alias("__t"), "start", "blocks", nth.alias("__n"))
+    both = keyed.withColumn("nth", F.row_number().over(row)).join(chosen, F.col("id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("h") == F.col("__t")) & (F.col("nth") == F.col("__n"))).where(F.col("blocks").isNotNull())
+    need = both.select("row", "start", F.transform("blocks", lambda b: b["block"]).alias("block"), F.transform("blocks", lambda b: b["times"]).alias("times"))
     find, size = re.compile(WORD).finditer, options.block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 batch = whole.slice(i, 256)
+                fields = dict(zip(names, batch.column(0).flatten(), strict=True))
                 index, texts = [], []
-                columns = [batch.column(c).to_pylist() for c in ("text", "__start", "__block", "__times")]
-                for j, (full, start, blocks, times) in enumerate(zip(*columns, strict=True)):
+                for j, (full, start, blocks, times) in enumerate(zip(fields["text"].to_pylist(), *(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
                     spans = [m.span() for m in find(full)]
                     of = dict(zip(blocks, times, strict=True))
                     for turn in range(1, max(times) + 1):
@@ -249,13 +250,13 @@ def mixed_documents(docs: DataFrame, options: MixOptions = MixOptions()) -> Data
                                 runs.append([low, high])
                         index.append(j)
                         texts.append(full if runs == [[0, len(spans)]] else "\n".join(full[spans[a][0] : spans[z - 1][1]] for a, z in runs))
-                made = batch.select(names).take(pa.array(index, pa.int64()))
-                made = made.set_column(names.index("text"), "text", pa.array(texts, pa.string()))
-                if "n_chars" in names:
-                    made = made.set_column(names.index("n_chars"), "n_chars", pa.array(map(len, texts), pa.int64()).cast(batch.column("n_chars").type))
-                yield made
+                made = {n: c.take(pa.array(index, pa.int64())) for n, c in fields.items()}
+                made["text"] = pa.array(texts, pa.string())
+                if "n_chars" in made:
+                    made["n_chars"] = pa.array(map(len, texts), pa.int64()).cast(fields["n_chars"].type)
+                yield pa.RecordBatch.from_arrays([made[n] for n in names], names=names)
 
-    return need.mapInArrow(lean(run), docs.schema)
+    return need.mapInArrow(lean(run), schema)
 
 
 def op4_multinomial_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import dealt_table, lean, table, words_of
+from .common import dealt_table, fresh, lean, table, words_of
 
 
 @dataclass(frozen=True)
@@ -133,7 +133,7 @@ class QualityModel:
         for at in range(0, len(rows), block):
             near = latent[at : at + block] @ self.vectors.T
             least = np.partition(near, near.shape[1] - k, axis=1)[:, -k][:, None]
-            weight = np.where(near >= least, np.maximum(near, 0), 0).astype(np.float64) ** 4  # ties at the k-th all vote
+            weight = np.where(near >= least, np.maximum(near, 0), 0).astype(np.float64)  # ties at the k-th all vote
             total = weight.sum(axis=1)
             votes = np.divide(weight @ self.labels, total, out=np.full(len(near), self.prior), where=total > 0)
             out[at : at + block] = np.clip(votes, 0, 1)
@@ -167,6 +167,7 @@ def learn(docs: DataFrame, labels: DataFrame, options: QualityOptions = QualityO
     """A model from the documents that labels (doc_id, quality) marks, of which `allowed` may say where it holds.
 
     Labels that contradict each other count by their majority (ties: 1); null labels don't count.
+    Of documents of one doc_id, that of the least terms counts.
     """
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (F.lit(True) if allowed is None else allowed))
     one = marked.groupBy("doc_id").agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("int").alias("label"), F.xxhash64("doc_id").alias("h"))
@@ -183,13 +184,13 @@ def learn(docs: DataFrame, labels: DataFrame, options: QualityOptions = QualityO
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.tolist() for t, _ in made], pa.list_(pa.int64())), pa.array([w.tolist() for _, w in made], pa.list_(pa.float64())), batch.column(2)], names=["doc_id", "terms", "weights", "label"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__label")
-    got = rows.mapInArrow(lean(run), "doc_id bigint, terms array<bigint>, weights array<double>, label int").dropDuplicates(["doc_id"]).collect()
+    got = rows.mapInArrow(lean(run), "doc_id bigint, terms array<bigint>, weights array<double>, label int").groupBy("doc_id").agg(F.min(F.struct("terms", "weights", "label")).alias("least")).select("doc_id", "least.*").collect()
     got.sort(key=lambda r: r["doc_id"])
     return fit([(np.array(r["terms"], np.int64), np.array(r["weights"]), r["label"]) for r in got], options)
 
 
-def score(docs: DataFrame, model: QualityModel, rows: int = 512) -> DataFrame:
-    """All columns of docs and __score.  A null or empty text has the score of a document that is like none."""
+def score(docs: DataFrame, model: QualityModel, name: str = "__score", rows: int = 512) -> DataFrame:
+    """All columns of docs and the score, under a name that docs does not have.  A null or empty text has the score of a document that is like none."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # sample x dimensions and terms x dimensions numbers
     at = docs.columns.index("text")
 
@@ -199,9 +200,9 @@ def score(docs: DataFrame, model: QualityModel, rows: int = 512) -> DataFrame:
             for i in range(0, whole.num_rows, rows):
                 batch = whole.slice(i, rows)
                 scores = model.scores([features(t or "", model.options) for t in batch.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "__score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(lean(run), ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], "__score double"]))
+    return docs.mapInArrow(lean(run), ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], f"`{name}` double"]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -221,6 +222,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, options: QualityOptions = Qual
 
     A document without words is like none and has the prior as its score.
     """
-    names = docs.columns
+    name = fresh(docs, "score")
     model = learn(docs, labels, options, ~held_out(F.col("doc_id").cast("bigint")))
-    return score(docs, model).where(F.col("__score") >= 0.5).select(*[F.col(f"`{n}`") for n in names])
+    return score(docs, model, name).where(F.col(name) >= 0.5).drop(name)

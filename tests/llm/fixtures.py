@@ -9,7 +9,7 @@ PROSE = "The first line of a text that says what it has to say, in words that di
 NEAR = PROSE + " " + " ".join(f"w{i}" for i in range(60))
 
 #: Names that operators use or return themselves.
-EXTRA = ["key", "node", "size", "start", "rank", "score", "label", "block", "part", "kept", "target"]
+EXTRA = ["key", "node", "size", "start", "rank", "score", "label", "block", "part", "kept", "target", "__score", "__block", "__node", "__class", "__h", "__id", "__range", "row", "often", "class", "h"]
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), *[T.StructField(n, T.StringType()) for n in EXTRA]])
 
 

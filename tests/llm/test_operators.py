@@ -88,7 +88,13 @@ def test_dart_minhash_estimates_weighted_jaccard():
     assert abs(np.mean(found) - np.mean(true)) < 0.03
 
 
-def components(texts):
+def counted(text, n=5):
+    w = words_of(text or "")
+    return Counter([tuple(w)] if 0 < len(w) < n else (tuple(w[i : i + n]) for i in range(len(w) - n + 1)))
+
+
+def components(texts, weights="count"):
+    """The classes by brute force: all pairs, by the weighted or the plain Jaccard similarity."""
     ids, up = list(texts), {i: i for i in texts}
 
     def root(i):
@@ -96,10 +102,10 @@ def components(texts):
             i = up[i]
         return i
 
-    made = {i: sets(t) for i, t in texts.items()}
+    made = {i: counted(t) if weights == "count" else Counter(set(counted(t))) for i, t in texts.items()}
     for n, a in enumerate(ids):
         for b in ids[:n]:
-            if made[a] and made[b] and jaccard(made[a], made[b]) >= 0.8:
+            if made[a] and made[b] and not made[a].keys().isdisjoint(made[b]) and (made[a] & made[b]).total() >= 0.8 * (made[a] | made[b]).total():
                 x, y = sorted((root(a), root(b)))
                 up[y] = x
     return {i: root(i) for i in ids}
@@ -111,6 +117,44 @@ def test_op1_equals_brute_force(spark):
     assert got == components(texts)
 
 
+@pytest.mark.parametrize("weights", ["count", "set"])
+def test_op1_weighs_repeated_shingles(spark, weights):
+    """Texts that repeat their lines another number of times are alike as sets, but not by how often shingles occur."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(12):
+        line = " ".join(f"w{i}x{j}" for j in range(40))
+        rows += [(10 * i + k, "\n".join([line] * n + [f"tail {rng.randrange(9)} of it"])) for k, n in enumerate((1, 2, 3, 9, 10, 30))]
+    got = {r["doc_id"]: r["class_id"] for r in dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), dedup.DedupOptions(weights=weights)).collect()}
+    assert got == components(dict(rows), weights)
+    assert (got[3] == got[4]) and (got[1] == got[5]) == (weights == "set")
+
+
+def test_rare_pairs_lose_no_link(spark):
+    """The prefix filter gives every pair that is similar enough, and nothing of one root."""
+    rng = random.Random(4)
+    texts = {}
+    for i in range(150):
+        base = [f"b{i % 5}x{j}" for j in range(60)]
+        for j in rng.sample(range(60), rng.randrange(7)):
+            base[j] = rng.choice("pqrs")
+        texts[i] = " ".join(base * rng.choice((1, 1, 2)))
+    options = dedup.DedupOptions()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    nodes = dedup.signed(docs, options)
+    sets_ = dedup.shingle_sets(docs, nodes.select("node"), options)
+    got = {tuple(sorted((bytes(r["a"]), bytes(r["b"])))) for r in dedup.rare_pairs(nodes.select("node", "size", F.col("node").alias("root")), sets_, options).collect()}
+    want = set()
+    of = {hashlib.md5(t.encode()).digest(): counted(t) for t in texts.values()}
+    for a in of:
+        for b in of:
+            if a < b and (of[a] & of[b]).total() >= 0.8 * (of[a] | of[b]).total():
+                want.add((a, b))
+    assert want and want <= got and len(got) < len(of) * (len(of) - 1) // 2
+    one = nodes.select("node", "size", F.lit(b"r").alias("root"))
+    assert dedup.rare_pairs(one, sets_, options).count() == 0
+
+
 def test_op1_finds_links_that_no_hub_has(spark):
     """Near copies of one base with many edits each: few are near the hub, some pairs are near each other."""
     rng = random.Random(9)
@@ -361,13 +405,64 @@ def test_op5_held_out_accuracy(spark):
     assert np.mean([rows[i]["predicted"] == labels[i] for i in held]) > 0.95
 
 
+def _plain_features(text, options):
+    """The features of a text by loops over its words."""
+    import re as std
+
+    out, words, half = np.zeros(options.terms), re.findall(r"[^\x20\x09-\x0D]+", text or ""), options.terms // 2
+    if not words:
+        return out
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    lines = [x for x in text.split("\n") if x]
+    marks = {b"again": sum(a == b for a, b in zip(words, words[1:], strict=False)), b"window": len(windows) - len(set(windows)), b"line": (len(lines) - len(set(lines))) * len(words) // max(1, len(lines))}
+    for name, n in marks.items():
+        out[zlib.crc32(b"r" + name) % half] += n
+    for w in words:
+        shape = std.sub(r"[A-ZÀ-ÖØ-Þ]+", "X", w)
+        shape = std.sub(r"[^\W\d_A-ZÀ-ÖØ-ÞX]+", "x", shape)
+        shape = std.sub(r"(.)\1+", r"\1", std.sub(r"\d+", "0", shape))
+        out[zlib.crc32(("s" + shape).encode()) % half] += 1
+        out[half + zlib.crc32(("w" + w.lower().strip(".,;:!?#*$%&|<>\"'()")).encode()) % half] += 1
+    for part, share in ((slice(0, half), 1 - options.words_share), (slice(half, None), options.words_share)):
+        out[part] = np.sqrt(out[part] / out[part].sum() * share)
+    return out
+
+
+def test_op5_equals_brute_force(spark):
+    """The whole query against dense features, a full decomposition and a sort of all similarities."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    options = quality.QualityOptions()
+    known = sorted(i for i in labels if i in docs and zlib.crc32(str(i).encode()) % 3 != 1)
+    raw = {i: _plain_features(t, options) for i, t in docs.items()}
+    sample = np.array([raw[i] for i in known])
+    idf = np.log((1 + len(known)) / (1 + (sample > 0).sum(axis=0))) + 0.1
+    _, _, right = np.linalg.svd(sample * idf, full_matrices=False)
+    basis = right[: min(options.dimensions, len(known))].T
+
+    def latent(x):
+        v = (x * idf) @ basis
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    vectors, marks = np.array([latent(x) for x in sample]), np.array([labels[i] for i in known], float)
+    got = {r["doc_id"]: r["score"] for r in quality.op5_neighbour_votes(spark, SF).collect()}
+    errors = []
+    for i, x in raw.items():
+        near = vectors @ latent(x)
+        best = np.argsort(-near)[: options.neighbours]
+        weight = np.maximum(near[best], 0)
+        errors.append(abs(got[i] - (weight @ marks[best] / weight.sum() if weight.sum() else marks.mean())))
+    # the decomposition of the query is a randomized one: few neighbours at the edge of the k change
+    assert got.keys() == raw.keys() and np.median(errors) < 0.01 and np.mean(np.array(errors) > 0.1) < 0.03
+
+
 def test_op5_odd_cases(spark):
     labels = spark.createDataFrame([(1, 1), (1, 1), (3, 0), (None, 1), (9, None), (77, 0), (12, 1)], "doc_id long, quality int")
     model = quality.learn(documents(spark), labels)
-    got = quality.score(documents(spark), model).collect()
-    assert len(got) == len(ROWS) and all(0 <= r["__score"] <= 1 for r in got)
+    got = quality.score(documents(spark), model, "own").collect()
+    assert len(got) == len(ROWS) and all(0 <= r["own"] <= 1 for r in got)
     none = quality.learn(documents(spark), labels.limit(0))
-    assert {r["__score"] for r in quality.score(documents(spark), none).collect()} == {0.5}
+    assert {r["own"] for r in quality.score(documents(spark), none, "own").collect()} == {0.5}
     assert quality.keep_good(no_documents(spark), labels).count() == 0
     assert quality.keep_good(documents(spark), labels).columns == DOCS.names
 
