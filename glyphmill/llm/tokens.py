@@ -37,7 +37,7 @@ from .common import LEAST, bucket_of, dealt_bucket, dealt_table, key_bounds, lea
 MAGIC = b"GMIDS\x00\x01\x00"
 GAMMA = 2  # bits of a level for each key that reaches it
 END_ID = 1
-CACHED_PIECES = 5 << 16  # of a generation of a worker's cache (about 180 bytes each): nothing else is held there
+CACHED_PIECES = 1 << 18  # of a generation of a worker's cache (about 180 bytes each): nothing else is held there
 SHARD_IDS = 1 << 23  # ids after which a shard ends
 
 
