@@ -3,7 +3,9 @@
 A document's histogram of character classes and its histogram of common words are compared with
 those of its language by the Jensen-Shannon distance (the square root of the divergence in bits,
 0 to 1).  The references are those of the whole corpus: the summed histograms of all documents of
-a language that pass the base rules.  The distance of the characters is judged only where the
+a language that pass the base rules, less those of the document that is judged, so that none is
+its own witness.  A document of no language, or of one that has too little text besides it, is
+compared with the reference that its words are nearest to.  The distance of the characters is judged only where the
 document is long enough for its histogram to mean something.  That of the common words is judged
 at every length: the fewer words, the more of it is chance, by about a constant over their number
 in the square, and the limit widens by that.  Under some 40 words junk lies no farther from its
@@ -16,6 +18,7 @@ import functools
 import math
 import unicodedata
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,7 +57,8 @@ class RuleOptions:
     max_word_distance: float = 0.25  # of documents of full_words and more
     full_words: int = 200  # documents of fewer words have a wider limit
     word_noise: float = 4.0  # how much wider: in the square of the distance, this over the words
-    max_languages: int = 256  # references of their own; documents of rarer languages take the pooled one
+    min_support: int = 2000  # guard: words that a language must have besides the document
+    broadcast_languages: int = 256  # of most characters, whose references are broadcast; those of all others are joined
 
 
 @functools.cache
@@ -151,20 +155,32 @@ def js_distance(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, parts / 2)))
 
 
-References = dict[str | None, tuple[np.ndarray, np.ndarray]]
+Histograms = tuple[np.ndarray, np.ndarray]
+
+
+@dataclass(frozen=True)
+class References:
+    """References of languages: those of most text by name, all others as a table (lang, reference), if there are any."""
+
+    by_name: dict[str, Histograms]
+    others: DataFrame | None = None
+
+
+def _parted(values: np.ndarray) -> Histograms:
+    return values[:N_CLASSES], values[N_CLASSES:]
 
 
 def language_references(docs: DataFrame, options: RuleOptions = RuleOptions()) -> References:
-    """Summed histograms by language of all documents that pass the base rules; under None those of all languages.
+    """Summed histograms by language of all documents that pass the base rules.
 
-    Each batch sums by language before the shuffle; one row a language comes to the driver, and
-    at most options.max_languages of them (those of most characters) besides the pooled one.
+    Each batch sums by language before the shuffle; at most options.broadcast_languages rows come
+    to the driver.
     """
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sums: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
+        sums: dict[str | None, Histograms] = {}
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if base_failed(base_counts(text or ""), options):
+            if lang is None or base_failed(base_counts(text or ""), options):
                 continue
             old, new = sums.get(lang, (0, 0)), histograms(text)
             sums[lang] = old[0] + new[0], old[1] + new[1]
@@ -179,15 +195,12 @@ def language_references(docs: DataFrame, options: RuleOptions = RuleOptions()) -
     sums = [F.sum(F.col("hist")[i]).alias(f"h{i}") for i in range(width)]
     by_lang = written(parts.groupBy("lang").agg(*sums), "languages")
     chars = functools.reduce(lambda a, b: a + b, [F.col(f"h{i}") for i in range(N_CLASSES)])
-    out: References = {}
-    for row in by_lang.orderBy(chars.desc(), "lang").limit(options.max_languages).collect():
-        values = np.array(row[1:], np.float64)
-        if row["lang"] is not None:
-            out[row["lang"]] = values[:N_CLASSES], values[N_CLASSES:]
-    pooled = by_lang.agg(*[F.sum(f"h{i}").alias(f"h{i}") for i in range(width)]).first()
-    values = np.array([x or 0 for x in pooled], np.float64)
-    out[None] = values[:N_CLASSES], values[N_CLASSES:]
-    return out
+    first = by_lang.orderBy(chars.desc(), "lang").limit(options.broadcast_languages + 1).collect()
+    by_name = {r["lang"]: _parted(np.array(r[1:], np.float64)) for r in first[: options.broadcast_languages]}
+    others = None
+    if len(first) > options.broadcast_languages:
+        others = by_lang.where(~F.col("lang").isin(*by_name)).select("lang", F.array(*[f"h{i}" for i in range(width)]).alias("reference"))
+    return References(by_name, others)
 
 
 def word_limit(n: int, options: RuleOptions) -> float:
@@ -197,52 +210,79 @@ def word_limit(n: int, options: RuleOptions) -> float:
     return math.sqrt(options.max_word_distance**2 + options.word_noise * (1 / max(1, n) - 1 / options.full_words))
 
 
-def verdict(text: str, lang: str | None, references: References, options: RuleOptions) -> tuple[bool, float, float]:
-    """Kept by the method, the distance of the characters (0 where its guard holds), that of the common words."""
+def verdict(text: str, lang: str | None, references: dict[str, Histograms], options: RuleOptions, counted: bool = False) -> tuple[bool, float, float]:
+    """Kept by the method, the distance of the characters (0 where its guard holds), that of the common words.
+
+    counted: the text is part of the reference of its language.  Without any reference that has
+    enough text besides it, the distances are 0.
+    """
     by_class, common = histograms(text)
-    ref = references.get(lang, references[None])
-    chars = js_distance(by_class, ref[0]) if by_class.sum() >= options.min_chars else 0.0
-    words = js_distance(common, ref[1])
+    chars = words = 0.0
+    ref = references.get(lang) if lang is not None else None
+    if ref is not None and counted:
+        ref = ref[0] - by_class, ref[1] - common
+    if ref is None or ref[1].sum() < options.min_support:
+        known = [r for name, r in references.items() if name != lang and r[1].sum() >= options.min_support]
+        ref = min(known, key=lambda r: js_distance(common, r[1]), default=None)
+    if ref is not None:
+        chars = js_distance(by_class, ref[0]) if by_class.sum() >= options.min_chars else 0.0
+        words = js_distance(common, ref[1])
     return chars <= options.max_char_distance and words <= word_limit(int(common.sum()), options), chars, words
 
 
 COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, char_distance double, word_distance double"
 
 
+def _by_reference(docs: DataFrame, references: References, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """run() over row (the columns of docs), text, lang and reference: the last is null but for languages of which it is not broadcast."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    none = rows.withColumn("reference", F.lit(None).cast("array<bigint>"))
+    if references.others is None:
+        return run(none)
+    known = F.coalesce(F.col("lang").isin(*references.by_name), F.lit(True))
+    rare = rows.where(~known).join(references.others.withColumnRenamed("lang", "__lang"), F.col("lang") == F.col("__lang"), "left").drop("__lang")
+    return run(none.where(known)).unionByName(run(rare))
+
+
+def _verdicts(batch: pa.RecordBatch, by_name: dict[str, Histograms], options: RuleOptions) -> Iterator[tuple[tuple[int, int, int, int, int], bool, tuple[bool, float, float]]]:
+    """The base counts, whether they fail, and the verdict of each row of (row, text, lang, reference)."""
+    for text, lang, own in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+        counts = base_counts(text or "")
+        failed = base_failed(counts, options)
+        known = by_name if own is None else by_name | {lang: _parted(np.array(own, np.float64))}
+        yield counts, failed, verdict(text or "", lang, known, options, not failed)
+
+
 def judge(docs: DataFrame, references: References, options: RuleOptions = RuleOptions()) -> DataFrame:
     """One row a document, in one pass: doc_id, the base counts and the verdict.
 
-    A null or empty text has no words and fails the base rules; a null or unknown language is
-    compared with the pooled reference; repeated rows are judged each for itself; a corpus in
-    which no document passes the base rules has empty references, at distance 0 from all.
+    references: of docs itself, from language_references().  A null or empty text has no words and
+    fails the base rules; a null or unknown language, or one with too little text besides the
+    document, is compared with the nearest reference; repeated rows are judged each for itself; a
+    corpus in which no document passes the base rules has no references, and distances of 0.
     """
     schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("char_distance", pa.float64()), ("word_distance", pa.float64())])
+    by_name = references.by_name
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for doc_id, text, lang in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            counts = base_counts(text or "")
-            failed = base_failed(counts, options)
-            kept, chars, words = verdict(text or "", lang, references, options)
-            rows.append((doc_id, *counts, failed, kept and not failed, chars, words))
+        ids = batch.column(0).flatten()[0].to_pylist()
+        rows = [(i, *counts, failed, kept and not failed, chars, words) for i, (counts, failed, (kept, chars, words)) in zip(ids, _verdicts(batch, by_name, options), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    need = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    return map_batches(need, each, f"doc_id bigint, {COUNTS}")
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return _by_reference(slim, references, lambda rows: map_batches(rows.withColumn("row", F.struct("row.doc_id")), each, f"doc_id bigint, {COUNTS}"))
 
 
 def keep_good(docs: DataFrame, options: RuleOptions = RuleOptions()) -> DataFrame:
     """The documents that the rules keep, with all their columns, in one pass after that for the references."""
     references = language_references(docs, options)
-    at = docs.columns.index("text"), docs.columns.index("lang")
+    by_name, names, schema = references.by_name, docs.columns, docs.schema
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for text, lang in zip(batch.column(at[0]).to_pylist(), batch.column(at[1]).to_pylist(), strict=True):
-            keep.append(not base_failed(base_counts(text or ""), options) and verdict(text or "", lang, references, options)[0])
-        return batch.filter(pa.array(keep, pa.bool_()))
+        keep = pa.array([kept and not failed for _, failed, (kept, _, _) in _verdicts(batch, by_name, options)], pa.bool_())
+        return pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.column(0).flatten()], names=names)
 
-    return map_batches(docs, each, docs.schema)
+    return _by_reference(docs, references, lambda rows: map_batches(rows, each, schema))
 
 
 def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

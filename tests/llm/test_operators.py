@@ -245,13 +245,93 @@ def test_op2_judges_short_documents_by_common_words(spark):
     prose = " ".join(r["text"] for r in docs.where("lang = 'en'").orderBy("doc_id").limit(200).collect() if labels.get(r["doc_id"]) == 1).split()
     for n in (60, 80, 100, 120, 150, 199, 200, 400):  # word salad in letters like those of prose: only the common words tell
         salad = ["".join(rng.sample(w, len(w))) + "q" for w in rng.sample(prose, n)]
-        kept, chars, words = rules.verdict(" ".join(salad), "en", references, options)
+        kept, chars, words = rules.verdict(" ".join(salad), "en", references.by_name, options)
         assert not kept and chars <= options.max_char_distance and words > rules.word_limit(n, options)
-        assert rules.verdict(" ".join(prose[:n]), "en", references, options)[0]
+        assert rules.verdict(" ".join(prose[:n]), "en", references.by_name, options)[0]
     limits = [rules.word_limit(n, options) for n in range(1, 300)]
     assert limits == sorted(limits, reverse=True) and limits[-1] == options.max_word_distance
 
 
+def _prose(rng, words, n):
+    return " ".join(rng.choices(words, k=n))
+
+
+def test_op2_verdicts_equal_brute_force(spark):
+    """Distances and verdicts of the whole query, by the formulas in plain loops."""
+    import unicodedata
+
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    options, places = rules.RuleOptions(), list(dict.fromkeys(rules.COMMON_WORDS))
+
+    def kind(c):
+        if c in rules.SYMBOLS or c in ".,":
+            return "symbol" if c in rules.SYMBOLS else "stop"
+        if c in " \t\x0b\x0c\n\r":
+            return "line" if c in "\n\r" else "space"
+        k = unicodedata.category(c)
+        by = {"Ll": "lower" if c < "\x80" else "accented lower", "Lu": "upper" if c < "\x80" else "accented upper", "Lt": "accented upper", "Lo": "letter", "Lm": "letter", "Nd": "digit", "Nl": "digit", "No": "digit", "Zs": "space", "Zl": "line", "Zp": "line"}
+        return by.get(k, {"P": "punctuation", "S": "symbol", "M": "mark"}.get(k[0], "other"))
+
+    def counts(text):
+        words = Counter()
+        for w in text.lower().split():
+            words[w if w in places else w.strip(".,;:!?") if w.strip(".,;:!?") in places else None] += 1
+        return Counter(map(kind, text)), words
+
+    def distance(a, b):
+        n, m, total = sum(a.values()), sum(b.values()), 0.0
+        for k in {*a, *b} if n and m else ():
+            p, q = a[k] / n, b[k] / m
+            total += sum(x * math.log2(2 * x / (p + q)) for x in (p, q) if x)
+        return math.sqrt(max(0.0, total / 2))
+
+    passed = {i: not rules.base_failed(rules.base_counts(t), options) for i, t, _ in docs}
+    sums = defaultdict(lambda: (Counter(), Counter()))
+    for i, t, lang in docs:
+        if passed[i]:
+            for s, c in zip(sums[lang], counts(t), strict=True):
+                s.update(c)
+    got = {r["doc_id"]: r for r in rules.op2_divergence_rules(spark, SF).collect()}
+    for i, t, lang in docs:
+        own = counts(t)
+        ref = [s - c if passed[i] else s for s, c in zip(sums[lang], own, strict=True)]
+        assert ref[1].total() >= options.min_support
+        chars, words = distance(own[0], ref[0]) if len(t) >= options.min_chars else 0.0, distance(own[1], ref[1])
+        assert got[i]["char_distance"] == pytest.approx(chars, abs=1e-6) and got[i]["word_distance"] == pytest.approx(words, abs=1e-6)
+        assert got[i]["kept"] == (passed[i] and chars <= options.max_char_distance and words <= rules.word_limit(own[1].total(), options))
+
+
+def test_op2_judges_none_by_itself(spark):
+    """Junk that is alone in its language is not its own reference; clean text of a small or no language has the nearest one."""
+    rng = random.Random(2)
+    english, german = [["the", "of", "and", "to", "in", "is", "that", "house", "garden", "river"], ["der", "die", "und", "das", "ist", "nicht", "haus", "garten", "fluss", "wald"]]
+    junk = " ".join("".join(rng.choices("bcdfgh#*%0123", k=9)) for _ in range(400))
+    rows = [(i, _prose(rng, english, 300), "en") for i in range(20)] + [(100 + i, _prose(rng, german, 300), "de") for i in range(20)]
+    rows += [(200, junk, "xx"), (201, junk[::-1], "en"), (202, _prose(rng, german, 300), None), (203, _prose(rng, german, 300), "yy"), (204, _prose(rng, english, 300), "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for options in (rules.RuleOptions(), rules.RuleOptions(broadcast_languages=2), rules.RuleOptions(broadcast_languages=1)):
+        got = {r["doc_id"]: r["kept"] for r in rules.judge(docs, rules.language_references(docs, options), options).collect()}
+        assert {i for i, kept in got.items() if not kept} - ({202, 203} if options.broadcast_languages == 1 else set()) == {200, 201} and len(got) == len(rows)
+        assert {r["doc_id"] for r in rules.keep_good(docs, options).collect()} == {i for i, kept in got.items() if kept}
+
+
+def test_op2_references_of_any_number_of_languages(spark):
+    """Beyond those broadcast, references are joined: the verdicts are the same."""
+    rng = random.Random(6)
+    rows = []
+    for lang in range(30):
+        words = [f"l{lang}w{j}" for j in range(20)] + ["the", "de", "und"][lang % 3 : lang % 3 + 1] * 5
+        rows += [(100 * lang + i, _prose(rng, words, 400), f"l{lang}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = []
+    for n in (100, 4):
+        options = rules.RuleOptions(broadcast_languages=n, max_repeat_percent=100)
+        references = rules.language_references(docs, options)
+        assert len(references.by_name) == min(n, 30) and (references.others is None) == (n == 100)
+        got.append(sorted(map(tuple, rules.judge(docs, references, options).collect())))
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+
+
 # --- 3: packing ---
 
 
