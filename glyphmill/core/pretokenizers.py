@@ -8,6 +8,7 @@ for those that have such a form.
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -18,6 +19,7 @@ from pyspark.sql import Column, functions as F
 from .config import boolean, flag, required
 from .errors import TokenizerError
 from .normalizers import byte_level
+from .quick import WIDE, finder, narrowed
 from .text import ASCII_PUNCTUATION, JAVA_WORD_CLASS, MARKER, WORD_CLASS, Spans, alphabet_spans, compiled, is_punctuation, java_pattern, pattern_of, prefixed, to_alphabet
 
 #: Fixed value: the published pattern of the byte-level tokenizers.
@@ -85,6 +87,7 @@ def behave(parts: list[tuple[int, int, bool]], behavior: str) -> list[tuple[int,
 
 class PreTokenizer:
     native = False
+    cuts_in_place = False  # places() gives what quick() cuts a text into
 
     def __init__(self, config: dict) -> None:
         self.config = config
@@ -146,8 +149,16 @@ class Matching(PreTokenizer):
     def ranges(self, piece: Piece) -> list[tuple[int, int]]:
         return [m.span() for m in self.pattern.finditer(piece.text)]
 
+    cuts_in_place = True
+
     def quick(self) -> Quick | None:
-        return lambda text, first: self.pattern.findall(text), lambda raw: [Piece(raw, None, False)]
+        find = finder(self.pattern)
+        return lambda text, first: find(text), lambda raw: [Piece(raw, None, False)]
+
+    def places(self, text: str) -> list[tuple[int, int]]:
+        """Where the pieces of a text are."""
+        quick = None if WIDE(text) else narrowed(self.pattern.pattern)
+        return [m.span() for m in (quick or self.pattern).finditer(text)]
 
     def column(self, c: Column) -> Column:
         return F.regexp_extract_all(c, F.lit(self.java), F.lit(0))
@@ -162,6 +173,10 @@ class WhitespaceSplit(Matching):
     pattern = regex.compile(r"\P{White_Space}+")
     java = r"\P{IsWhite_Space}+"
 
+    def quick(self) -> Quick | None:
+        find, odd = self.pattern.findall, re.compile("[\x1c-\x1f]").search  # white space to split() alone
+        return lambda text, first: find(text) if odd(text) else text.split(), lambda raw: [Piece(raw, None, False)]
+
 
 class Bert(Matching):
     """White space goes, each punctuation mark stands alone."""
@@ -239,6 +254,19 @@ class Split(Delimited):
     def matches(self, text: str) -> Iterable[tuple[int, int]]:
         return (m.span() for m in self.pattern.finditer(text) if m.end() > m.start()) if self.pattern else ()
 
+    def quick(self) -> Quick | None:
+        general, rest = super().quick()
+        if self.pattern is None or self.invert != (self.behavior == "Removed") or self.behavior not in ("Isolated", "Removed"):
+            return general, rest
+        find, alone = finder(self.pattern), self.invert
+
+        def cut(text: str, first: bool) -> list[str]:
+            found = find(text)
+            # all of a text is in matches, or only matches are wanted
+            return [x for x in found if x] if alone else found if sum(map(len, found)) == len(text) and "" not in found else general(text, first)
+
+        return cut, rest
+
 
 class Metaspace(PreTokenizer):
     native = True
@@ -272,6 +300,11 @@ class Metaspace(PreTokenizer):
             return None
         mark = regex.escape(self.by)
         find = regex.compile(f"(?s)(?:{mark})?(?:(?!{mark}).)+|{mark}").findall
+        if len(self.by) == 1:
+
+            def find(text: str) -> list[str]:  # noqa: F811
+                head, *tail = text.split(self.by)
+                return [head, *[self.by + x for x in tail]] if head else [self.by + x for x in tail]
 
         def cut(text: str, first: bool) -> list[str]:
             text = text.replace(" ", self.by)
@@ -307,7 +340,15 @@ class ByteLevel(PreTokenizer):
     def quick(self) -> Quick | None:
         if self.prefix or not self.cuts:
             return None
-        return lambda text, first: compiled(GPT2).findall(text), lambda raw: [Piece(to_alphabet(raw), None, False, True)]
+        find = finder(compiled(GPT2))
+        return lambda text, first: find(text), lambda raw: [Piece(to_alphabet(raw), None, False, True)]
+
+    @property
+    def cuts_in_place(self) -> bool:  # type: ignore[override]
+        return self.cuts and not self.prefix
+
+    places = Matching.places
+    pattern = compiled(GPT2)
 
     def column(self, c: Column) -> Column:
         c = F.when(c.startswith(" "), c).otherwise(F.concat(F.lit(" "), c)) if self.prefix else c

@@ -17,6 +17,7 @@ from .normalizers import Metaspace as MetaspaceNormalizer
 from .normalizers import normalizer
 from .postprocess import Aligned, budget, post_processor, truncated
 from .pretokenizers import ByteLevel, Piece, pre_tokenizer
+from .quick import Batch
 from .text import Spans, byte_spans, to_alphabet
 
 SPECIALS = ("bos", "eos", "unk", "sep", "pad", "cls", "mask")
@@ -116,6 +117,7 @@ class Tokenizer:
         self.quick = None if self.late_splitter.tokens else self.pre_tokenizer.quick()
         self.memo: dict[str, tuple[int, ...]] = {}
         self.data = data
+        self.batch = Batch(self)
 
     def __reduce__(self):
         return Tokenizer, (self.data, self.config, False)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..core.errors import TokenizerError
@@ -39,6 +40,16 @@ class TokenizerFunctions:
 
         return apply
 
+    def _batched(self, kind: T.DataType, all_: Callable) -> Callable[..., Column]:
+        """An Arrow function over whole batches."""
+        shipped = self.shipped
+
+        @F.arrow_udf(kind)
+        def apply(column: pa.Array) -> pa.Array:
+            return all_(shipped.value, column)
+
+        return apply
+
     # --- stages ---
 
     def normalize(self, c: Column) -> Column:
@@ -56,33 +67,26 @@ class TokenizerFunctions:
 
     def encode(self, c: Column, add_special_tokens: bool = True, max_length: int | None = None, side: str = "right") -> Column:
         """Ids of a text; cut to max_length with its special tokens in place."""
-        if max_length is not None:
-            budget(self.tokenizer.post, max_length, add_special_tokens)  # wrong limits are errors here, not in a task
-        return self._udf(IDS, lambda t, s: t.encode(s, add_special_tokens, max_length, side))(c)
+        limit = None if max_length is None else budget(self.tokenizer.post, max_length, add_special_tokens)  # wrong limits are errors here, not in a task
+        return self._batched(IDS, lambda t, texts: t.batch.encode(texts, add_special_tokens, limit, side))(c)
 
     def encode_with_offsets(self, c: Column, add_special_tokens: bool = True) -> Column:
         """ids and offsets (byte ranges of the original text; null for inserted tokens)."""
 
-        @F.pandas_udf(ENCODING)
-        def apply(texts: pd.Series) -> pd.DataFrame:
-            made = [None if s is None else shipped.value.encode_with_offsets(s, add_special_tokens) for s in texts]
-            return pd.DataFrame({"ids": [e and e.ids for e in made], "offsets": [e and [o and {"start": o[0], "end": o[1]} for o in e.offsets] for e in made], "type_ids": [None] * len(made)})
-
-        shipped = self.shipped
-        return apply(c)
+        return self._batched(ENCODING, lambda t, texts: t.batch.encode_with_offsets(texts, add_special_tokens))(c)
 
     def encode_pair(self, a: Column, b: Column, add_special_tokens: bool = True) -> Column:
         """ids and type_ids of two texts; the post-processor runs natively on the two arrays of ids."""
         self.tokenizer.post.pair_ids([], [], add_special_tokens)  # no pair form is an error here
 
         def bare(c: Column) -> Column:  # without the template of a single sequence
-            return self._udf(IDS, lambda t, s: t._ids(s))(c)
+            return self._batched(IDS, lambda t, texts: t.batch.bare(texts))(c)
 
         ids, types = self.tokenizer.post.pair_column(bare(a), bare(b), add_special_tokens)
         return F.struct(ids.alias("ids"), types.alias("type_ids"))
 
     def tokenize(self, c: Column) -> Column:
-        return self._udf(STRINGS, lambda t, s: t.tokenize(s))(c)
+        return self._batched(STRINGS, lambda t, texts: t.batch.tokenize(texts))(c)
 
     @staticmethod
     def truncate(ids: Column, n: int, side: str = "right") -> Column:
@@ -91,7 +95,7 @@ class TokenizerFunctions:
     # --- decoding ---
 
     def decode(self, c: Column, skip_special_tokens: bool = False) -> Column:
-        return self._udf(T.StringType(), lambda t, ids: t.decode([int(i) for i in ids], skip_special_tokens))(c)
+        return self._batched(T.StringType(), lambda t, ids: t.batch.decode(ids, skip_special_tokens))(c.cast(IDS))
 
     def id_to_token(self, c: Column) -> Column:
         return self._udf(T.StringType(), lambda t, i: t.id_to_token(int(i)))(c)
@@ -99,6 +103,18 @@ class TokenizerFunctions:
     def token_to_id(self, c: Column) -> Column:
         return self._udf(T.IntegerType(), lambda t, s: t.token_to_id(s))(c)
 
+    def with_ids(self, df: DataFrame, token: str, name: str = "id") -> DataFrame:
+        """df with the id of each token string, by a join with the vocabulary, which is bounded when the tokenizer is loaded (4 Mi ids)."""
+        ids = self.spark.createDataFrame(list(self.tokenizer.model.vocabulary.ids.items()), "__token string, __id int")
+        unk = F.when(F.col(token).isNotNull(), F.lit(self.tokenizer.model.unk_id))
+        return df.join(F.broadcast(ids), F.col(token) == F.col("__token"), "left").select(*df.columns, F.coalesce("__id", unk).alias(name))
+
+    def with_tokens(self, df: DataFrame, i: str, name: str = "token") -> DataFrame:
+        """df with the token string of each id, by a join with the vocabulary."""
+        t = self.tokenizer
+        tokens = self.spark.createDataFrame([(k, t.id_to_token(k)) for k in t.model.vocabulary.tokens], "__id int, __token string")
+        return df.join(F.broadcast(tokens), F.col(i) == F.col("__id"), "left").select(*df.columns, F.col("__token").alias(name))
+
     # --- tables ---
 
     def vocabulary(self) -> DataFrame:
