@@ -256,17 +256,20 @@ def rare_pairs(members: DataFrame, sets: DataFrame, options: DedupOptions) -> Da
     Of n tokens in any order that all documents share, two that are similar enough have one in
     common among their first n - ceil(similarity * n) + 1.  The order is from the rarest token on,
     so tokens that many members have seldom count, and those that one alone has match nothing.
+    How far in the first common one stands bounds what two can share, which leaves few pairs.
     """
     tokens = tokens_of(members, sets, options)
     often = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     shared = tokens.join(often, "token")
     own = W.partitionBy("node")
-    rank = F.row_number().over(own.orderBy("n", "token")) + F.col("size") - F.count("*").over(own)  # after those that it has alone
-    first = written(shared.withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * options.similarity - 1e-6) + 1).select("token", "node", "size", "root"), "rare")
+    place = F.row_number().over(own.orderBy("n", "token")) + F.col("size") - F.count("*").over(own)  # after those that it has alone
+    first = written(shared.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * options.similarity - 1e-6) + 1).select("token", "node", "size", "root", "place"), "rare")
     mixed = first.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     left = first.join(mixed, "token")
-    right = left.select("token", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-    fit = F.least("size", "size_b") >= F.greatest("size", "size_b") * options.similarity
+    right = left.select("token", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"), F.col("place").alias("place_b"))
+    # after the first token in common, which stands at these places, no more can be shared than either has left
+    most = 1 + F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
+    fit = most >= (F.col("size") + F.col("size_b")) * (options.similarity / (1 + options.similarity)) - 1e-6
     return left.join(right, (left["token"] == right["token"]) & (F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & fit).select(F.col("node").alias("a"), "b").distinct()
 
 
