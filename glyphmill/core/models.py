@@ -321,22 +321,23 @@ def _word_level(model: dict, added: dict[str, int], config: dict) -> WordLevel:
 
 
 KINDS = {"BPE": _bpe, "Unigram": _unigram, "WordPiece": _word_piece, "WordLevel": _word_level}
-#: Classes whose model is not BPE, for files that don't name their model.
+#: The models of known classes (without `Tokenizer` and `Fast`), for files that don't name their model.
 CLASS_MODELS = {
-    "WordPiece": "Bert DistilBert Electra MPNet MobileBert Funnel LayoutLM Lxmert RoFormer Splinter Squeezebert Retribert".split(),
-    "Unigram": "T5 XLMRoberta Albert Camembert XLNet MBart Pegasus BigBird Rembert".split(),
+    "WordPiece": "Bert DistilBert Distilbert".split(),
+    "Unigram": "T5 XLMRoberta Xlm-Roberta".split(),
+    "BPE": "CodeGen CodeLlama Cohere Falcon GPT2 Gemma Llama PreTrained Qwen2 Roberta TokenizersBackend Whisper".split(),
 }
 
 
 def model(data: dict, added: dict[str, int], config: dict, strict: bool = True) -> Model:
-    """The model of tokenizer data: by its type, else by the class of the tokenizer, else BPE where strict is off."""
+    """The model of tokenizer data: by its type, else by the class of the tokenizer, else an error, or BPE where strict is off."""
     spec = data.get("model")
     if not isinstance(spec, dict):
         raise TokenizerError("invalidConfiguration", "no model")
     kind = spec.get("type")
     if kind is None:
         name = str(config.get("tokenizer_class") or "").removesuffix("Fast").removesuffix("Tokenizer")
-        kind = next((k for k, names in CLASS_MODELS.items() if name in names), "BPE" if not strict or "merges" in spec else None)
+        kind = next((k for k, names in CLASS_MODELS.items() if name in names), None if strict else "BPE")
     if kind not in KINDS:
         raise TokenizerError("unsupportedComponent", f"model {kind!r}")
     return KINDS[kind](spec, added, config)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import struct
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -109,8 +110,22 @@ class Lowercase(Normalizer):
         return F.array_join(F.transform(F.split(c, ""), F.lower), "")
 
 
+#: Scalars of Unicode 10 and later that normalization would change or move (decompositions, combining classes).
+LATER = (
+    (0x898, 0x89F), (0x8CA, 0x8D3), (0xC3C, 0xC3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0x32FF, 0x32FF), (0xA7F2, 0xA7F4), (0xA82C, 0xA82C),
+    (0xAB69, 0xAB69), (0x10781, 0x107BA), (0x10D24, 0x10D27), (0x10D69, 0x10D6D), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B),
+    (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11938, 0x11938), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D45),
+    (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1DF00, 0x1DF2A), (0x1E030, 0x1E06D), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+    (0x1F16C, 0x1F16C), (0x1FBF0, 0x1FBF9),
+)
+_LATER = re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in LATER) + "])")
+
+
 class Unicode(Normalizer):
-    """NFC, NFD, NFKC or NFKD.  Scalars that Unicode 9 does not know pass as they are."""
+    """NFC, NFD, NFKC or NFKD of the scalars that Unicode 9 knows.
+
+    Later ones pass as they are, and what stands on either side of one is normalized for itself.
+    """
 
     def __init__(self, config: dict) -> None:
         super().__init__(config)
@@ -119,6 +134,16 @@ class Unicode(Normalizer):
     def apply(self, text: str, spans: Spans, offset: int) -> tuple[str, Spans]:
         if unicodedata.is_normalized(self.form, text):
             return text, spans
+        parts, out, at = [], [], 0
+        for k, part in enumerate(_LATER.split(text)):
+            own = spans and spans[at : at + len(part)]
+            new, own = (part, own) if k % 2 else self._stretch(part, own)
+            parts.append(new)
+            out += own or ()
+            at += len(part)
+        return "".join(parts), None if spans is None else out
+
+    def _stretch(self, text: str, spans: Spans) -> tuple[str, Spans]:
         if spans is None:
             return unicodedata.normalize(self.form, text), None
         parts, out, start = [], [], 0

@@ -197,6 +197,41 @@ class Sequence(PostProcessor):
         return tokens
 
 
+class Strings(PostProcessor):
+    """A function of token strings in place of a plan: ids go there and back, and strings without an id are dropped.
+
+    For processors that know spellings only: add a subclass with tokens() to KINDS.
+    """
+
+    adds = True
+
+    def __init__(self, config: dict | None = None) -> None:
+        super().__init__()
+        self.config = config or {}
+        self.token_to_id: Callable[[str], int | None] = lambda _: None
+        self.id_to_token: Callable[[int], str | None] = lambda _: None
+
+    def bind_strings(self, token_to_id: Callable[[str], int | None], id_to_token: Callable[[int], str | None]) -> None:
+        self.token_to_id, self.id_to_token = token_to_id, id_to_token
+
+    def tokens(self, a: list[str], b: list[str] | None, special: bool) -> list[str]:
+        return [*a, *(b or ())]
+
+    def _there_and_back(self, a: list[int], b: list[int] | None, special: bool) -> list[int]:
+        spelled = [[self.id_to_token(i) or "" for i in x] if x is not None else None for x in (a, b)]
+        return [i for t in self.tokens(spelled[0], spelled[1], special) if (i := self.token_to_id(t)) is not None]
+
+    def ids(self, ids: list[int], special: bool = True) -> list[int]:
+        return self._there_and_back(ids, None, special)
+
+    def pair_ids(self, a: list[int], b: list[int], special: bool = True) -> tuple[list[int], list[int]]:
+        out = self._there_and_back(a, b, special)
+        return out, [0] * len(out)
+
+    def column(self, ids: Column, special: bool = True) -> Column:
+        raise TokenizerError("unsupportedComponent", "a processor of strings has no native form")
+
+
 KINDS = {"TemplateProcessing": Template, "BertProcessing": Bert, "RobertaProcessing": Roberta, "ByteLevel": ByteLevel, "Sequence": Sequence}
 
 

@@ -68,7 +68,7 @@ def narrowed(pattern: str) -> re.Pattern | None:
         out.append(c)
         i += 1
     try:
-        made = re.compile("".join(out))
+        made = re.compile("".join(out), re.MULTILINE)  # as all configured patterns are
     except re.error:
         return None
     return None if made.groups else made
@@ -76,7 +76,7 @@ def narrowed(pattern: str) -> re.Pattern | None:
 
 def finder(pattern: regex.Pattern) -> Callable[[str], list[str]]:
     """The matches of a pattern in a text, as strings."""
-    quick = narrowed(pattern.pattern) if not pattern.groups and pattern.flags & ~(regex.UNICODE | regex.V0 | regex.V1) == 0 else None
+    quick = narrowed(pattern.pattern) if not pattern.groups and pattern.flags & ~(regex.UNICODE | regex.V0 | regex.V1 | regex.MULTILINE) == 0 else None
     if quick is None:
         return (lambda text: [m.group() for m in pattern.finditer(text)]) if pattern.groups else pattern.findall
     fast, slow = quick.findall, pattern.findall
@@ -157,6 +157,10 @@ class Batch:
 
     def frame(self, add_special_tokens: bool) -> tuple[list[int], list[int]] | None:
         """The ids that the post-processor puts before and after those of a text; None where it does more."""
+        from .postprocess import Strings
+
+        if isinstance(self.tokenizer.post, Strings):
+            return None
         made = self.tokenizer.post.ids([MARK], add_special_tokens)
         if made.count(MARK) != 1 or self.tokenizer.post.ids([], add_special_tokens) != [i for i in made if i != MARK]:
             return None

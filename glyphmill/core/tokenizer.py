@@ -15,7 +15,7 @@ from .errors import TokenizerError
 from .models import BPE, Unigram
 from .normalizers import Metaspace as MetaspaceNormalizer
 from .normalizers import normalizer
-from .postprocess import Aligned, budget, post_processor, truncated
+from .postprocess import Aligned, Strings, budget, post_processor, truncated
 from .pretokenizers import ByteLevel, Piece, pre_tokenizer
 from .quick import Batch
 from .text import Spans, byte_spans, to_alphabet
@@ -107,6 +107,8 @@ class Tokenizer:
         post = data.get("post_processor")
         self.post = post_processor(self._llama(config, post) if name in LLAMA_CLASSES else post)
         self.post.bind(self.model.token_to_id if self.model.unk_token is None else self._known)
+        if isinstance(self.post, Strings):
+            self.post.bind_strings(self.model.vocabulary.ids.get, self.id_to_token)
         self.decoder = decoder(data.get("decoder"))
         self.fuses = self.model.fuses and not isinstance(self.model, BPE | Unigram)
         cleans = flag(config, "clean_up_tokenization_spaces", False)

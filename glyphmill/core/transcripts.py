@@ -8,6 +8,9 @@ from fractions import Fraction
 
 import regex
 
+from .config import parse_json
+from .errors import TokenizerError
+
 #: Letters that no decomposition spells in ASCII, and how they are spelled.
 SPELLED = {"œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "æ": "ae", "Æ": "AE", "ß": "ss", "ẞ": "SS", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "th", "ł": "l", "Ł": "L"}
 #: Words of hesitation, and what contractions and titles stand for, in the order in which they are replaced.
@@ -214,6 +217,18 @@ def numbers_in_digits(text: str) -> str:
     return re.sub(r"\b1(s?)\b", r"one\1", text)
 
 
+def read_spellings(path: str) -> dict[str, str]:
+    """A map of spellings from a JSON file of strings by strings."""
+    with open(path, "rb") as f:
+        return string_values(parse_json(f.read()))
+
+
+def string_values(data: object) -> dict[str, str]:
+    if not isinstance(data, dict) or not all(isinstance(v, str) for v in data.values()):
+        raise TokenizerError("invalidConfiguration", "spellings are a map of strings by strings")
+    return dict(data)
+
+
 def english_normalize(text: str, spellings: dict[str, str] | None = None) -> str:
     """The normal form of an English transcript; spellings maps words to those that they count as."""
     text = without_brackets(text.lower())

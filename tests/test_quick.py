@@ -8,6 +8,7 @@ import regex
 from glyphmill.core import quick
 from glyphmill.core.postprocess import budget
 from glyphmill.core.pretokenizers import GPT2, Bert, Split, Whitespace, WhitespaceSplit
+from glyphmill.core.text import compiled
 from glyphmill.core.tokenizer import Tokenizer
 from glyphmill.plans import toys
 
@@ -25,9 +26,10 @@ def made(n, seed, most=16):
     return ["", *("".join(rng.choices(ATOMS, k=rng.randrange(most))) for _ in range(n))]
 
 
-@pytest.mark.parametrize("pattern", [*KNOWN.values(), Whitespace.pattern.pattern, WhitespaceSplit.pattern.pattern, Bert.pattern.pattern, r"\p{Lu}+|\P{Lu}", r"[^\p{Lu}\S]+|\w|\d"])
+@pytest.mark.parametrize("pattern", [*KNOWN.values(), Whitespace.pattern.pattern, WhitespaceSplit.pattern.pattern, Bert.pattern.pattern, r"\p{Lu}+|\P{Lu}", r"[^\p{Lu}\S]+|[\p{Ll}\d]"])
 def test_narrowed_patterns_match_the_same(pattern):
-    slow, fast = regex.compile(pattern), quick.narrowed(pattern)
+    slow = compiled(pattern)
+    fast = quick.narrowed(slow.pattern)
     assert fast is not None
     for c in map(chr, range(quick.TOP)):
         for text in (c, f"a{c}", f" {c}b", f"{c}{c}", f"'{c}", f"1{c} "):
@@ -37,6 +39,10 @@ def test_narrowed_patterns_match_the_same(pattern):
             assert fast.findall(text) == slow.findall(text), repr(text)
 
 
+def test_configured_patterns_are_narrowed():
+    assert all(quick.finder(compiled(p)) is not compiled(p).findall for p in KNOWN.values())
+
+
 def test_patterns_that_are_not_narrowed():
     assert all(quick.narrowed(p) is None for p in (r"(a)b", r"\X", r"[a&&b]", r"\p{Han}+", r"[[:alpha:]]", r"\N{DIGIT ONE}"))
 
