@@ -288,11 +288,12 @@ def decode_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cleanup_sql() -> str:
-    from ..core.decoders import CLEANUP
-
+    """The published rules in groups: no rule makes a match of an earlier one."""
     sql = r"regexp_replace(text, '([.,!?''])', ' \1', 'g')"
-    for a, b in CLEANUP:
-        sql = "replace({}, '{}', '{}')".format(sql, a.replace("'", "''"), b.replace("'", "''"))
+    sql = rf"regexp_replace({sql}, ' ([.?!,])', '\1', 'g')"
+    sql = f"replace({sql}, ' '' ', '''')"
+    for part in ("n''t", "''m", "''s", "''ve", "''re"):
+        sql = f"replace({sql}, ' {part}', '{part}')"
     return sql
 
 
@@ -361,11 +362,18 @@ def encode_decode_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).select("doc_id", f.decode(f.encode(F.col("text"))).alias("text"))
 
 
+#: A tokenizer of words that SQL can follow: two known words, all others unknown.
+WORD_IDS = {"<unk>": 0, "the": 1, "de": 2, "[CLS]": 101, "[SEP]": 102}
+
+
+def _words_tokenizer() -> dict:
+    return {"model": {"type": "WordLevel", "vocab": WORD_IDS, "unk_token": "<unk>"}, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": BERT}
+
+
 def encode_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most 16 ids, special tokens included: how many, and the first and last of them."""
-    ids = _functions(spark, toys.word_piece()).encode(F.col("text"), max_length=16)
-    made = texts(spark, sf_dir).select("doc_id", ids.alias("ids"))
-    return made.select("doc_id", F.size("ids").cast("bigint").alias("n"), F.element_at("ids", 1).alias("first"), F.element_at("ids", -1).alias("last"))
+    """At most 16 ids, special tokens included, from either side."""
+    f = _functions(spark, _words_tokenizer())
+    return _digested(texts(spark, sf_dir), first=f.encode(F.col("text"), max_length=16), last=f.encode(F.col("text"), max_length=16, side="left"))
 
 
 def encode_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,17 +385,17 @@ def encode_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark passage with its document of the same number: type ids by segment."""
-    both = table(spark, sf_dir, "benchmark").join(texts(spark, sf_dir).withColumnRenamed("text", "other"), F.col("item_id") == F.col("doc_id"))
-    made = both.select("item_id", _functions(spark, toys.word_piece()).encode_pair(F.col("text"), F.col("other")).alias("e"))
-    return made.select("item_id", F.size("e.ids").alias("n"), F.size(F.filter("e.type_ids", lambda t: t == 1)).alias("second"))
+    """Each document with its language and source as second text: ids and type ids."""
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.concat_ws(" ", "lang", "source").alias("other"))
+    made = docs.select("doc_id", _functions(spark, _words_tokenizer()).encode_pair(F.col("text"), F.col("other")).alias("e"))
+    return _digested(made, ids=F.col("e.ids"), types=F.col("e.type_ids"))
 
 
 def convert_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vocabulary there and back: ids of its tokens, tokens of its ids."""
-    f = _functions(spark, toys.word_piece())
-    v = f.vocabulary()
-    return v.select("id", "token", f.token_to_id(F.col("token")).alias("back"), f.id_to_token(F.col("id")).alias("forth")).where("id <> back OR token <> forth")
+    """How often each word of the texts occurs, with its id, and the token of that id: by joins with the vocabulary."""
+    f = _functions(spark, _words_tokenizer())
+    words = texts(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(r"\P{IsWhite_Space}+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return f.with_tokens(f.with_ids(words, "word"), "id").select("word", "n", F.col("id").cast("bigint").alias("id"), "token")
 
 
 def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -410,8 +418,10 @@ def chat_assistant_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..core.tokenizer import Tokenizer
     from ..functions.tables import assistant_mask
 
-    made = assistant_mask(_chats(spark, sf_dir), Tokenizer(toys.byte_bpe(), {"chat_template": toys.CHAT}))
-    return made.select("conv_id", F.size("ids").alias("n"), F.size(F.filter("mask", lambda m: m)).alias("n_assistant"))
+    plain = toys.byte_bpe()
+    plain["model"] = plain["model"] | {"merges": []}  # a byte is an id, so that SQL can count
+    made = assistant_mask(_chats(spark, sf_dir), Tokenizer(plain, {"chat_template": toys.CHAT}))
+    return made.select("conv_id", F.size("ids").cast("bigint").alias("n"), F.size(F.filter("mask", lambda m: m)).cast("bigint").alias("n_assistant"))
 
 
 def response_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -462,8 +472,9 @@ def norm_bert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pre_unicode_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of which some letters are made Greek, cut where the script changes."""
     f = _functions(spark, _with(None, {"type": "UnicodeScripts"}))
-    return texts(spark, sf_dir).select("doc_id", F.size(f.pre_tokenize(F.col("text"))).alias("n_pieces"))
+    return texts(spark, sf_dir).select("doc_id", F.size(f.pre_tokenize(F.translate("text", "aeo", "αεο"))).cast("bigint").alias("n_pieces"))
 
 
 def pre_merged_with_next(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -507,3 +518,5 @@ ORACLES["norm_bert"] = rf"SELECT doc_id, lower(strip_accents(regexp_replace(text
 ORACLES["pre_merged_with_previous"] = f"SELECT doc_id, len(p)::BIGINT AS n_pieces, md5(array_to_string(p, chr(1))) AS digest FROM (SELECT doc_id, regexp_extract_all(text, '(?s)[^.,]+[.,]?|[.,]') AS p FROM {TEXTS})"
 ORACLES["pre_merged_with_next"] = f"SELECT doc_id, len(p)::BIGINT AS n_pieces, md5(array_to_string(p, chr(1))) AS digest FROM (SELECT doc_id, regexp_extract_all(text, '(?s)[.,]?[^.,]+|[.,]') AS p FROM {TEXTS})"
 ORACLES["added_tokens_split"] = f"SELECT doc_id, len(regexp_extract_all(text, 'tion'))::BIGINT AS n_tion, len(regexp_extract_all(replace(text, 'tion', '.'), 'th'))::BIGINT AS n_th FROM {TEXTS}"
+
+from . import checked  # noqa: E402, F401  its queries and SQL join these
