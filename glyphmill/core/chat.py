@@ -96,13 +96,18 @@ def _until_mark(rendered: str, final: str) -> str:
 
 def apply(tokenizer: Tokenizer, messages: list[dict], max_length: int | None = None, **options: Any) -> list[int]:
     """Ids of the rendered messages, which bring their own special tokens; cut to the lesser of max_length and the model's, if a limit is given."""
-    if max_length is not None and max_length < 0:
-        raise TokenizerError("invalidConfiguration", "max_length is negative")
-    ids = tokenizer.encode(render(tokenizer, messages, **options), add_special_tokens=False)
+    most = limit(tokenizer, max_length)
+    return tokenizer.encode(render(tokenizer, messages, **options), add_special_tokens=False)[:most]
+
+
+def limit(tokenizer: Tokenizer, max_length: int | None) -> int | None:
+    """The lesser of max_length and the model's, if a limit is given."""
     if max_length is None:
-        return ids
+        return None
+    if max_length < 0:
+        raise TokenizerError("invalidConfiguration", "max_length is negative")
     own = tokenizer.config.get("model_max_length")
-    return ids[: min(max_length, own) if isinstance(own, int) and own > 0 else max_length]
+    return min(max_length, own) if isinstance(own, int) and own > 0 else max_length
 
 
 def apply_with_mask(tokenizer: Tokenizer, messages: list[dict], **options: Any) -> tuple[list[int], list[bool]]:

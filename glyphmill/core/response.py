@@ -360,6 +360,18 @@ class ResponseParser:
     def _leave(self) -> None:
         self.region, self.captures, self.body, self.opened = self.template.implicit, {}, [], False
 
+    def state(self) -> tuple:
+        """All that later text depends on, as plain values: what is not read yet, the message so far and the open region."""
+        return self.text, self.output, self.region and self.region.name, self.captures, "".join(self.body), self.opened, self.done
+
+    def resume(self, state: tuple) -> ResponseParser:
+        """Goes on from a state() of a parser of the same template, prefix and tools."""
+        self.text, self.output, name, self.captures, body, self.opened, self.done = state
+        self.region = None if name is None else self.template.fields[name]
+        self.body = [body] if body else []
+        self.initial_events = []
+        return self
+
     def feed(self, text: str) -> list[Event]:
         if self.done:
             raise ResponseParsingError("alreadyFinalized")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..core import chat, transcripts
@@ -27,15 +28,17 @@ def apply_chat_template(df: DataFrame, tokenizer: Tokenizer, key: str = "conv_id
     shipped = df.sparkSession.sparkContext.broadcast(tokenizer)
     chat.compiled(chat.select(tokenizer, options.get("template"), options.get("tools")))  # a bad template is an error here
 
-    @F.pandas_udf(T.StructType([T.StructField("prompt", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
-    def apply(messages: pd.Series) -> pd.DataFrame:
-        prompts, ids = [], []
-        for row in messages:
-            prompts.append(chat.render(shipped.value, _messages(row), **options))
-            ids.append(chat.apply(shipped.value, _messages(row), max_length, **options))
-        return pd.DataFrame({"prompt": prompts, "ids": ids})
+    @F.pandas_udf("string")
+    def render(messages: pd.Series) -> pd.Series:
+        return pd.Series([None if row is None else chat.render(shipped.value, _messages(row), **options) for row in messages], dtype=object)
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode(prompts: pa.Array) -> pa.Array:
+        return shipped.value.batch.encode(prompts, False, limit, "right")
 
-    return df.select(key, apply("messages").alias("__made")).select(key, "__made.prompt", "__made.ids")
+    # a prompt is rendered once, and encoded only where its ids are wanted
+    limit = chat.limit(tokenizer, max_length)
+    return df.select(key, render("messages").alias("prompt")).select(key, "prompt", encode("prompt").alias("ids"))
 
 
 def assistant_mask(df: DataFrame, tokenizer: Tokenizer, key: str = "conv_id", **options) -> DataFrame:

@@ -132,3 +132,33 @@ ORACLES["added_tokens_none"] = f"SELECT doc_id, md5(array_to_string([101] || ids
 #: Each character that is none of a word is doubled, so that two neighbours have one each.
 ORACLES["added_tokens_flags"] = rf"""SELECT doc_id, len(regexp_extract_all('.' || regexp_replace(text, '([^{WORD}])', '\1\1', 'g') || '.', '[^{WORD}]de[^{WORD}]'))::BIGINT AS n_de,
  len(regexp_extract_all(text, '\.'))::BIGINT AS n_stop, len(regexp_extract_all(lower(text), 'the'))::BIGINT AS n_the FROM {TEXTS}"""
+
+
+def _unigram_sql() -> str:
+    """The best path to each place of each distinct piece, place by place: score and ids of what ends there."""
+    rows = toys.unigram()["model"]["vocab"]
+    known = [(t, i, s) for i, (t, s) in enumerate(rows) if i]
+    longest, unk = max(len(t) for t, _, _ in known), min(s for _, s in rows) - 10.0
+    zero = next(i for t, i, _ in known if t == "<0x00>")
+    ids = "MAP {" + ", ".join("'" + t.replace("'", "''") + f"': {i}" for t, i, _ in known) + "}"
+    scores = "MAP {" + ", ".join("'" + t.replace("'", "''") + f"': {s!r}::DOUBLE" for t, _, s in known) + "}"
+    spelled = f"list_transform(regexp_extract_all(hex(encode(substr(w, place, 1))), '..'), lambda h: {zero} + ('0x' || h)::INT)"
+    piece = "substr(w, place, e - place)"
+    offered = f"CASE WHEN e > place AND e <= place + {longest} THEN score[place] + coalesce(s[{piece}], CASE WHEN e = place + 1 THEN {unk!r}::DOUBLE END) END"
+    better = f"coalesce({offered} > score[e], {offered} IS NOT NULL)"
+    return f"""WITH RECURSIVE known AS (SELECT {ids} AS i, {scores} AS s),
+ marked AS (SELECT doc_id, replace(lower(nfc_normalize(text)), ' ', '▁') AS t FROM {TEXTS}),
+ pieces AS (SELECT doc_id, generate_subscripts(p, 1) AS pos, unnest(p) AS w FROM (SELECT doc_id, regexp_extract_all(CASE WHEN t = '' OR starts_with(t, '▁') THEN t ELSE '▁' || t END, '▁?[^▁]+|▁') AS p FROM marked)),
+ steps AS (
+  SELECT w, 1::BIGINT AS place, [0::DOUBLE] || list_transform(range(0, length(w)), lambda e: NULL::DOUBLE) AS score, list_transform(range(0, length(w) + 1), lambda e: []::INT[]) AS ids FROM (SELECT DISTINCT w FROM pieces)
+  UNION ALL
+  SELECT w, place + 1, list_transform(range(1, length(w) + 2), lambda e: CASE WHEN {better} THEN {offered} ELSE score[e] END),
+         list_transform(range(1, length(w) + 2), lambda e: CASE WHEN {better} THEN ids[place] || CASE WHEN s[{piece}] IS NULL THEN {spelled} ELSE [i[{piece}]] END ELSE ids[e] END)
+  FROM steps, known WHERE place <= length(w)),
+ words AS (SELECT w, ids[length(w) + 1] AS ids FROM steps WHERE place > length(w)),
+ found AS (SELECT doc_id, flatten(list(ids ORDER BY pos)) AS ids FROM pieces JOIN words USING (w) GROUP BY doc_id),
+ whole AS (SELECT doc_id, coalesce(ids, []) AS ids FROM {TEXTS} LEFT JOIN found USING (doc_id))
+ SELECT doc_id, {_digest_sql('ids')} FROM whole"""
+
+
+ORACLES["model_unigram_encode"] = _unigram_sql()

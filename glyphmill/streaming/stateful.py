@@ -79,25 +79,23 @@ def stream_parse(pieces: DataFrame, template: dict, key: str = "stream_id", seq:
 
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("seq")
-        seen = pickle.loads(state.get[0]) if state.exists else []
         parser = ResponseParser(ResponseTemplate(source))
-        for part in seen:  # the state is the text so far: a parser is rebuilt by reading it again
-            parser.feed(part)
+        if state.exists:
+            parser.resume(pickle.loads(state.get[0]))
         out: list[tuple[int, str]] = []
         ended = False
         for n, part in zip(rows["seq"], rows["text"], strict=True):
             if part is None:
                 message, events = parser.finalize()
                 out += [(int(n), json.dumps(e, ensure_ascii=False)) for e in [*events, ("message", message)]]
-                parser, seen, ended = ResponseParser(ResponseTemplate(source)), [], True
+                parser, ended = ResponseParser(ResponseTemplate(source)), True
             else:
                 out += [(int(n), json.dumps(e, ensure_ascii=False)) for e in parser.feed(part)]
-                seen.append(part)
                 ended = False
         if ended:
             state.remove()
         else:
-            state.update((pickle.dumps(seen),))
+            state.update((pickle.dumps(parser.state()),))
         if out:
             yield pd.DataFrame({"key": [keys[0]] * len(out), "seq": [n for n, _ in out], "event": [e for _, e in out]})
 
