@@ -23,8 +23,10 @@ SALTS = (0x47B6137B, 0x44974D91, 0x0824AD5B, 0x22B7289D, 0x705495C7, 0x2DF1424B,
 
 #: The rules of the query: key and action.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
-#: The listed hosts of the query, blocked where no rule fits.
-LISTED = ("cheap-pills.example.com/", "spam-farm.example.org/", "cheap-pills.example.net/", "cheap-pills.example.org/", "spam-farm.example.com/", "spam-farm.example.net/")
+#: Names of unwanted hosts of the query, under each of the ends; they are blocked where no rule fits.
+UNWANTED = ("cheap-pills", "spam-farm", "casino-win", "free-bets", "ads-track", "adult-x")
+ENDS = ("example.com", "example.org", "example.net")
+LISTED = tuple(f"{name}.{end}/" for name in UNWANTED for end in ENDS)
 
 
 def canonical_parts(url: Column) -> tuple[Column, Column]:
