@@ -17,6 +17,7 @@ from pyspark.sql import Column, functions as F
 
 from .config import flag, required
 from .errors import TokenizerError
+from .quick import WIDE, narrowed
 from .text import MARKER, MOVED, MOVED_TO, WHITE_SPACE, Spans, alphabet_spans, compiled, java_pattern, map_scalars, pattern_of, prefixed, substitute, to_alphabet
 
 SPACE_RUN = regex.compile(r"\p{White_Space}+")
@@ -201,7 +202,8 @@ class Bert(Normalizer):
     def _plain(self, text: str) -> str:
         """The same without offsets, where most texts have nothing to clean."""
         if self.clean:
-            text = SPACE_ONE.sub(" ", DROPPED.sub("", text))
+            wide = WIDE(text)
+            text = (SPACE_ONE if wide else SPACE_ONE_LATIN).sub(" ", (DROPPED if wide else DROPPED_LATIN).sub("", text))
         if self.cjk and not text.isascii():
             text = IDEOGRAPH.sub(r" \g<0> ", text)
         if self.accents and not text.isascii():
@@ -217,7 +219,8 @@ class Bert(Normalizer):
 
 
 DROPPED = regex.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\p{Cf}\p{Co}\ufffd]")
-SPACE_ONE = regex.compile(r"\p{White_Space}")
+SPACE_ONE = regex.compile(r"[^\P{White_Space} ]")  # a space is one already
+DROPPED_LATIN, SPACE_ONE_LATIN = narrowed(DROPPED.pattern), narrowed(SPACE_ONE.pattern)
 IDEOGRAPH = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in CJK) + "]")
 MN = regex.compile(r"\p{Mn}")
 LOWER = Lowercase({})

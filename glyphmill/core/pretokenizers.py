@@ -13,13 +13,14 @@ import unicodedata
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import numpy as np
 import regex
 from pyspark.sql import Column, functions as F
 
 from .config import boolean, flag, required
 from .errors import TokenizerError
 from .normalizers import byte_level
-from .quick import WIDE, finder, narrowed
+from .quick import finder, not_white
 from .text import ASCII_PUNCTUATION, JAVA_WORD_CLASS, MARKER, WORD_CLASS, Spans, alphabet_spans, compiled, is_punctuation, java_pattern, pattern_of, prefixed, to_alphabet
 
 #: Fixed value: the published pattern of the byte-level tokenizers.
@@ -87,7 +88,7 @@ def behave(parts: list[tuple[int, int, bool]], behavior: str) -> list[tuple[int,
 
 class PreTokenizer:
     native = False
-    cuts_in_place = False  # places() gives what quick() cuts a text into
+    cuts_in_place = False  # placed() tells where the strings are that quick() cuts a text into
 
     def __init__(self, config: dict) -> None:
         self.config = config
@@ -155,10 +156,18 @@ class Matching(PreTokenizer):
         find = finder(self.pattern)
         return lambda text, first: find(text), lambda raw: [Piece(raw, None, False)]
 
-    def places(self, text: str) -> list[tuple[int, int]]:
-        """Where the pieces of a text are."""
-        quick = None if WIDE(text) else narrowed(self.pattern.pattern)
-        return [m.span() for m in (quick or self.pattern).finditer(text)]
+    def placed(self, text: str) -> tuple[list[str], np.ndarray]:
+        """The pieces of a text and where they start."""
+        pieces = self.quick()[0](text, True)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        starts = np.concatenate([[0], ends[:-1]])
+        if len(pieces) == 0 or ends[-1] == len(text):
+            return pieces, starts[: len(pieces)]
+        black = not_white(text)  # what pieces leave out is white space, or the places are looked for
+        if len(black) == ends[-1]:
+            return pieces, black[starts]
+        found = [m.span() for m in self.pattern.finditer(text)]
+        return [text[a:b] for a, b in found], np.fromiter((a for a, _ in found), np.int64, len(found))
 
     def column(self, c: Column) -> Column:
         return F.regexp_extract_all(c, F.lit(self.java), F.lit(0))
@@ -347,7 +356,7 @@ class ByteLevel(PreTokenizer):
     def cuts_in_place(self) -> bool:  # type: ignore[override]
         return self.cuts and not self.prefix
 
-    places = Matching.places
+    placed = Matching.placed
     pattern = compiled(GPT2)
 
     def column(self, c: Column) -> Column:

@@ -104,6 +104,21 @@ class Memo(dict):
             self.clear()
 
 
+@functools.cache
+def _white() -> np.ndarray:
+    from .text import WHITE_SPACE
+
+    out = np.zeros(0x3002, bool)
+    out[list(map(ord, WHITE_SPACE))] = True
+    return out
+
+
+def not_white(text: str) -> np.ndarray:
+    """Where the scalars stand that are no white space."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.flatnonzero(~_white()[np.minimum(codes, 0x3001)])
+
+
 def byte_places(text: str) -> np.ndarray:
     """The place in UTF-8 of each scalar, and the end."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -231,11 +246,10 @@ class Batch:
         t = self.tokenizer
         if not self.plain_spans or self._has_added(text):
             return None
-        places = t.pre_tokenizer.places(text)
-        found = [self.spans[text[a:b]] for a, b in places]
+        pieces, first = t.pre_tokenizer.placed(text)
+        found = list(map(self.spans.__getitem__, pieces))
         self.spans.turn()
-        ids, starts, ends = (np.frombuffer(b"".join(f[k] for f in found), "<i4") for k in range(3))
-        first = np.fromiter((a for a, _ in places), np.int64, len(places))
+        ids, starts, ends = (np.frombuffer(b"".join(f), "<i4") for f in zip(*found, strict=True)) if found else [np.zeros(0, "<i4")] * 3
         if not text.isascii():
             first = byte_places(text)[first]
         base = np.repeat(first, [len(f[0]) // 4 for f in found])
@@ -261,8 +275,10 @@ class Batch:
                 e = self.tokenizer.encode_with_offsets(text, add_special_tokens)
                 columns = [e.ids, [o[0] if o else 0 for o in e.offsets], [o[1] if o else 0 for o in e.offsets], [o is not None for o in e.offsets]]
             else:
-                n = len(made[0])
-                columns = [np.concatenate([front, made[0], back]), np.concatenate([[0] * len(front), made[1], [0] * len(back)]), np.concatenate([[0] * len(front), made[2], [0] * len(back)]), np.concatenate([[0] * len(front), np.ones(n), [0] * len(back)])]
+                there = np.ones(len(made[0]), np.int32)
+                columns = [*made, there]
+                if front or back:
+                    columns = [np.concatenate([front, made[0], back]), *(np.pad(x, (len(front), len(back))) for x in (made[1], made[2], there))]
             for p, c in zip(parts, columns, strict=True):
                 p.append(np.asarray(c).astype("<i4").tobytes())
         offsets, ids = lists(parts[0])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import pickle
 from dataclasses import dataclass
 from typing import Any
 
@@ -80,6 +83,19 @@ class Encoding:
         return out
 
 
+#: The last tokenizers that reached this worker, which remember what they have encoded from one job to the next.
+_REVIVED: dict[str, Tokenizer] = {}
+REVIVED = 4
+
+
+def _revived(digest: str, data: dict, config: dict) -> Tokenizer:
+    made = _REVIVED.pop(digest, None) or Tokenizer(data, config, False)
+    _REVIVED[digest] = made
+    if len(_REVIVED) > REVIVED:
+        del _REVIVED[next(iter(_REVIVED))]
+    return made
+
+
 class Tokenizer:
     """encode, decode and their kin for one text; the column functions in glyphmill.functions apply them to tables."""
 
@@ -122,7 +138,11 @@ class Tokenizer:
         self.batch = Batch(self)
 
     def __reduce__(self):
-        return Tokenizer, (self.data, self.config, False)
+        return _revived, (self.digest, self.data, self.config)
+
+    @functools.cached_property
+    def digest(self) -> str:
+        return hashlib.sha256(pickle.dumps((self.data, self.config))).hexdigest()
 
     def _known(self, token: str) -> int | None:
         return self.model.token_to_id(token)
