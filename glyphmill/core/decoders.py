@@ -72,7 +72,11 @@ class ByteLevel(Decoder):
         def data(t: Column) -> Column:
             return F.when(t.rlike(f"^[{alphabet}]*$"), F.hex(F.encode(F.translate(t, MOVED_TO, MOVED), "ISO-8859-1"))).otherwise(F.hex(F.encode(t, "UTF-8")))
 
-        return F.array(F.make_valid_utf8(F.unhex(F.array_join(F.transform(tokens, data), "")).cast("string")))
+        # where all tokens are in the alphabet they go back in one string
+        whole = F.array_join(tokens, "")
+        plain = F.encode(F.translate(whole, MOVED_TO, MOVED), "ISO-8859-1")
+        mixed = F.unhex(F.array_join(F.transform(tokens, data), ""))
+        return F.array(F.make_valid_utf8(F.when(whole.rlike(f"^[{alphabet}]*$"), plain).otherwise(mixed).cast("string")))
 
 
 class Replace(Decoder):

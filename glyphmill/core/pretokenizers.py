@@ -361,8 +361,11 @@ class ByteLevel(PreTokenizer):
 
     def column(self, c: Column) -> Column:
         c = F.when(c.startswith(" "), c).otherwise(F.concat(F.lit(" "), c)) if self.prefix else c
-        pieces = F.regexp_extract_all(c, F.lit(java_pattern(GPT2)), F.lit(0)) if self.cuts else F.array(c)
-        return F.transform(pieces, byte_level)
+        if not self.cuts:
+            return F.array(byte_level(c))
+        # all pieces go to the byte alphabet in one string, with marks between them
+        pieces = F.array_join(F.regexp_extract_all(c, F.lit(java_pattern(GPT2)), F.lit(0)), CUT)
+        return F.filter(F.split(byte_level(pieces), to_alphabet(CUT)), lambda p: p != "")
 
 
 class CharDelimiter(Delimited):
