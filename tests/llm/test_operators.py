@@ -609,6 +609,31 @@ def test_url_rules(spark):
     assert {r["listed_key"] for r in urls.filter_urls(pages, listed.limit(0)).collect()} == {None}
 
 
+def test_url_filter_on_odd_rows(spark):
+    """Many rows without URL or of one URL, a very long one, repeated rows and columns of the operator's own names."""
+    long = "http://a.Example.COM/en/7" + "x/" * 50_000 + "?q"
+    rows = [(i, None) for i in range(60)] + [(i, "http://hot.org/es/1") for i in range(60)] + [(1, long), (1, long), (None, "HTTP://x.net/de/"), (2, "no scheme"), (3, "://"), (4, "http://EXAMPLE.net/de/8#f"), (5, "http://org/es"), (6, "http://é.org/es/ü")]
+    pages = spark.createDataFrame([(i, u, "x", "x", "x", 1, "x") for i, u in rows], "page_id long, url string, host string, path string, key string, rank int, __candidate string")
+    listed = spark.createDataFrame([(k, a, 1) for k, a in urls.RULES] + [("org/", "allow", 0), (None, "block", 2), ("com/en/", "allow", 0)], "key string, action string, rank int")
+
+    def brute(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = []
+        for k, act, rank in [(k, act, 1) for k, act in urls.RULES] + [("org/", "allow", 0), ("com/en/", "allow", 0)]:
+            khost, _, kpath = k.partition("/")
+            if (host == khost or host.endswith(f".{khost}")) and path.startswith(f"/{kpath}"):
+                fits.append((rank, len(k), act, k))
+        best = max(fits, default=(None, None, None, None))
+        return host, path, best[3], best[2], best[0]
+
+    got = Counter((r["page_id"], r["host"], r["path"], r["listed_key"], r["action"], r["rank"]) for r in urls.filter_urls(pages, listed).collect())
+    assert got == Counter((i, *brute(u)) for i, u in rows)
+    assert urls.filter_urls(pages.limit(0), listed).count() == 0 and {r["action"] for r in urls.filter_urls(pages, listed.limit(0)).collect()} == {None}
+
+
 # --- 7: revisits ---
 
 
@@ -629,6 +654,21 @@ def test_revisits(spark):
     assert warc.resolve_revisits(records.limit(0)).count() == 0
 
 
+def test_revisits_of_ties_and_long_bodies(spark):
+    """Of responses at one time the greatest record counts, a response at the revisit's own time is earlier, one hot URL is no matter."""
+    body = "b" * 2_000_000
+    rows = [
+        (1, "response", "http://t.com/", 10, '"a"', None, {"x": "1"}, "one"), (2, "response", "https://www.t.com", 10, '"b"', None, {"x": "2"}, body), (3, "revisit", "http://t.com", 10, 'W/"b"', None, {"X": "3", "content-length": "9"}, None),
+        (4, "revisit", "http://t.com", 9, '"b"', None, None, None), (5, "revisit", "http://t.com", 99, '"c"', None, {}, None), (6, "revisit", "http://t.com#x", 99, None, "d", {}, None), (7, "other", "http://t.com", 11, '"z"', None, {}, "z"),
+        *[(100 + i, "revisit", "http://t.com?utm_source=x", 20 + i, '"b"', None, {}, None) for i in range(40)],
+    ]
+    schema = "record_id long, kind string, url string, ts long, etag string, last_modified string, headers map<string,string>, body string, status string, response_id string, __url string, __ts string, __bucket string, __h0 string"
+    got = {r["record_id"]: r for r in warc.resolve_revisits(spark.createDataFrame([(*r, *["x"] * 6) for r in rows], schema), 5).collect()}
+    assert got.keys() == {3, 4, 5, 6, *range(100, 140)}
+    assert got[3]["response_id"] == 2 and got[3]["body"] == body and got[3]["headers"] == {"x": "3"} and got[4]["status"] == "missing"
+    assert got[5]["status"] == "changed" and got[5]["body"] is None and got[6]["status"] == "unchecked" and all(got[i]["response_id"] == 2 and got[i]["status"] == "resolved" for i in range(100, 140))
+
+
 def test_revisits_with_null_and_repeated_ids(spark):
     rows = [
         (None, "response", "http://a.com/x", 10, '"e1"', None, {"age": "1"}, "one"), (None, "response", "http://b.com/", 10, '"e2"', None, {"age": "2"}, "two"),
