@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..core.errors import TokenizerError
 from ..core.models import WordLevel
 from ..core.postprocess import budget
+from ..core.text import to_alphabet
 from ..core.tokenizer import Tokenizer
 
 ENCODING = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("offsets", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("type_ids", T.ArrayType(T.IntegerType()))])
@@ -136,6 +137,31 @@ class TokenizerFunctions:
         return df.select(F.col(key), F.posexplode(self.encode(F.col(text), False)).alias("pos", "id"))
 
 
+    def encode_by_pieces(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        """key, ids of each row, without special tokens: each distinct piece is encoded once in all of the table, then joined back.
+
+        For models that are dear a piece: the pieces are cut natively, and the plan shuffles one row
+        for each distinct piece of a row.  The normalizer and the pre-tokenizer must be native, and
+        there may be no added tokens.  key is unique; null texts have null ids.
+        """
+        t = self.tokenizer
+        if not (t.normalizer.native and t.pre_tokenizer.native) or t.splitter.tokens or t.late_splitter.tokens or t.fuses:
+            raise TokenizerError("unsupportedComponent", "pieces are cut natively, and without added tokens, only")
+        byte_level = t.model.byte_level
+
+        def one(tok: Tokenizer, pieces: pa.Array) -> pa.Array:
+            return pa.array([list(tok.model.ids(to_alphabet(p) if byte_level else p)) for p in pieces.to_pylist()], pa.list_(pa.int32()))
+
+        cut = df.select(F.col(key).alias("__key"), F.posexplode(self.pre_tokenize(F.col(text))).alias("__pos", "__piece"))
+        # a row of a text and piece has all its places, so that a frequent piece is joined once a text
+        placed = cut.groupBy("__key", "__piece").agg(F.collect_list("__pos").alias("__places"))
+        known = placed.select("__piece").distinct().select(F.col("__piece").alias("__p"), self._batched(IDS, one)(F.col("__piece")).alias("__ids"))
+        joined = placed.join(known, F.col("__piece") == F.col("__p")).select("__key", F.transform("__places", lambda p: F.struct(p.alias("pos"), F.col("__ids").alias("ids"))).alias("__parts"))
+        whole = joined.groupBy("__key").agg(F.flatten(F.transform(F.array_sort(F.flatten(F.collect_list("__parts"))), lambda x: x["ids"])).alias("__all"))
+        none = F.when(F.col(text).isNotNull(), F.array().cast(IDS))
+        return df.join(whole, F.col(key).eqNullSafe(F.col("__key")), "left").select(key, F.coalesce("__all", none).alias("ids"))
+
+
 def register(spark: SparkSession, tokenizer: Tokenizer, prefix: str = "") -> TokenizerFunctions:
     """Registers encode, decode, tokenize and normalize for SQL, and tokens(text) as a table function."""
     made = TokenizerFunctions(spark, tokenizer)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import toys
-from .queries import ALPHABET, NWS, ORACLES, QUERIES, TEXTS, WORD, WORDS, _bpe_sql, _digested, _functions, _pieced, _repeat, _with, _words_tokenizer, texts
+from .queries import ALPHABET, NWS, ORACLES, QUERIES, TEXTS, WORD, WORDS, _bpe_sql, _digest, _digested, _functions, _pieced, _repeat, _with, _words_tokenizer, texts
 
 
 def _values(rows: list[tuple]) -> str:
@@ -94,6 +94,17 @@ ORACLES["model_word_piece_encode"] = _word_piece_sql()
 ORACLES["model_bpe_encode"] = _bpe_ids_sql()
 ORACLES["model_byte_bpe_encode"] = _byte_bpe_sql()
 
+
+def model_bpe_by_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the scalar BPE, each distinct piece of all documents encoded once."""
+    made = _functions(spark, toys.bpe()).encode_by_pieces(texts(spark, sf_dir), "doc_id", "text")
+    return made.select("doc_id", F.size("ids").cast("bigint").alias("n"), _digest(F.col("ids")).alias("digest"))
+
+
+QUERIES["model_bpe_by_pieces"] = model_bpe_by_pieces
+ORACLES["model_bpe_by_pieces"] = ORACLES["model_bpe_encode"]
+
+
 #: Published patterns of other tokenizers.
 LLAMA3 = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
 QWEN2 = LLAMA3.replace("{1,3}", "")
