@@ -58,7 +58,8 @@ class Node:
     heads: bool = False  # named by a word for headers alone
     unseen: bool = False
     inside: bool = False  # an article or main, or in one
-    first_article: bool = False  # the first article or main stands in it
+    among_named: bool = False  # in one that is named
+    first_article: bool = False  # the first article or main stands in it, of those that stand in nothing named if there are any
     out: bool = False  # it or what it stands in is left out
     mode: int = 0  # of a box, see _choose
     parts: list[Line | Node] = field(default_factory=list)  # lines and boxes in a box, in order
@@ -117,7 +118,8 @@ class Lines(HTMLParser):
         self.events: list[Node | Line] = [root]  # elements and lines, in order
         self.data: list[str] = []
         self.tags = self.links = self.linked = 0
-        self.article = False  # one has been met
+        self.article = False  # one has been met outside of what is named
+        self.first: list[Node] = []  # the first such, or else the first of all, and what it stands in
 
     def parse_html_declaration(self, i: int) -> int:
         """Marked sections (`<![...`) have no meaning in HTML: they are comments, up to the next `>`."""
@@ -165,14 +167,18 @@ class Lines(HTMLParser):
             self._close(at)
         up = self.stack[-1]
         node = Node(tag, up, None, named, heads, unseen or tag in UNSEEN, up.inside or tag in ("article", "main"))
+        node.among_named = up.among_named or up.named
         node.box = node if tag in BOXES or tag in BOILERPLATE or named else up.box
         self.depths[tag].append(len(self.stack))
         self.stack.append(node)
         self.events.append(node)
         if tag in ("article", "main") and not self.article and not named:
-            self.article = True  # once a page, so this is linear too
-            for open_ in self.stack:
-                open_.first_article = True
+            # once a page, and once more for one that stands in what is named: this is linear too
+            if not node.among_named:
+                self.article = True
+                self.first = list(self.stack)
+            elif not self.first:
+                self.first = list(self.stack)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -211,6 +217,8 @@ def lines_of(html: str) -> Lines:
     except (AssertionError, ValueError):
         pass
     parser.flush()
+    for node in parser.first:
+        node.first_article = True
     return parser
 
 

@@ -883,6 +883,8 @@ def test_main_text_of_names_that_hold_the_page():
     want = "This is what the page has to say, in a good many words.\nAnd a second paragraph of it."
     for page in ('<div class="social-policy">%s</div>', '<main><article class="related-work">%s</article></main>', '<div class="comments">%s</div>', '<div class="sidebar-layout"><article>%s</article></div>', "<head><title>t</title>%s", "<table><tr><td>%s</td></tr></table>"):
         assert html.main_text(page % text) == want, page
+    widget = "<article><p>A widget beside the text, which is not what the page is about.</p></article>"
+    assert html.main_text(f'<div class="sidebar">{widget}</div><article>{text}</article><div class="comments">{widget}</div>') == want
     for part in ("comments", "commentList", "comment-list", "ad-slot", "site_footer", "cookieBanner", "page__sidebar--dark"):
         assert html.main_text(f'<body><div>{text}</div><div class="{part}"><p>Something that others have said of it, at a length that is as good.</p></div>') == want, part
 
