@@ -180,8 +180,12 @@ def placed(sized: DataFrame, sources: list[Source]) -> DataFrame:
 
 
 def taken_blocks(at: DataFrame, mixed: DataFrame, block: int) -> DataFrame:
-    """The rows of at that have words, once for each of their blocks that is taken: with block, times and words of it."""
-    times = mixed.groupBy(F.col("rank").alias("__rank"), F.col("block").alias("__block")).agg(F.count("*").alias("times"))
+    """The rows of at that have words, once for each of their blocks that is taken: with block, times and words of it.
+
+    Both sides are shuffled by block: the planner measures the mix by the few rows of its range of
+    shards, and would collect all blocks in the driver to broadcast them.
+    """
+    times = mixed.groupBy(F.col("rank").alias("__rank"), F.col("block").alias("__block")).agg(F.count("*").alias("times")).hint("merge")
     last = F.floor((F.col("start") + F.col("size") - 1) / block).cast("bigint")
     wide = at.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block).cast("bigint"), last)))
     words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)

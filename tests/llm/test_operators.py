@@ -473,6 +473,20 @@ def test_mixed_documents_hold_what_the_mix_takes(spark):
     assert mixing.mixed_documents(no_documents(spark)).count() == 0
 
 
+def test_blocks_of_a_mix_are_not_broadcast(spark):
+    """The planner takes the blocks of a mix for a few bytes: they must not go through the driver, however many they are."""
+    docs, key = spark.read.parquet(f"{SF}/documents.parquet"), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "1k")  # less than any table of documents here
+    try:
+        for made in (mixing.mix(docs), mixing.mixed_documents(docs)):
+            assert made.collect()
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            joins = [line for line in plan.splitlines() if "Join [" in line and "__block#" in line]
+            assert joins and not any("Broadcast" in line for line in joins)
+    finally:
+        spark.conf.unset(key)
+
+
 # --- 5: quality classifier ---
 
 
