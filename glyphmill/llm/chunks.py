@@ -18,6 +18,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from .common import MEMOS
+
 MAX_CACHE = 1 << 18  # pieces of a generation; there are two, and what is used goes from the old to the new
 
 #: Letters of the Latin blocks up to U+024F that normalization and lower case keep one by one.
@@ -115,5 +117,8 @@ class ChunkEncoder:
 
 @functools.cache
 def encoder(path: str, max_cache: int = MAX_CACHE) -> ChunkEncoder:
-    """The encoder of this worker: its cache serves all tasks that the worker runs."""
+    """The encoder of this worker: its cache serves all tasks that the worker runs, until one of another operator comes."""
     return ChunkEncoder(path, max_cache)
+
+
+MEMOS["pieces"] = encoder.cache_clear

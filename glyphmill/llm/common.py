@@ -39,6 +39,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: pa.Schema) -> DataFrame:
+    """Rows of the driver as a table.  They go through Arrow: lists of rows would start Python workers of a second kind, whose daemons stay in the executors."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema))
+
+
 def dealt_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table, dealt over all cores where its files are too few to fill half of them, as with one small file."""
     df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
@@ -83,10 +89,25 @@ def release(df: DataFrame) -> None:
     _delete(df.sparkSession, df.scratch_path)
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, after which a worker gives freed memory back: workers live on, and share an executor's limit with its JVM."""
+#: What a worker remembers from task to task and that grows with the texts: by name, how to forget it.
+MEMOS: dict[str, Callable[[], None]] = {}
+
+
+def forget_others(memo: str | None) -> None:
+    """Forgets every memo but the one of this name."""
+    for name, forget in MEMOS.items():
+        if name != memo:
+            forget()
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], memo: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a worker gives freed memory back: workers live on, and share an executor's limit with its JVM.
+
+    memo: of MEMOS, which run uses; those of the operators that the worker served before are forgotten first.
+    """
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(memo)
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import WORD, dealt_bucket, dealt_table, key_bounds, lean, mix64, parallelism, written
+from .common import WORD, dealt_bucket, dealt_table, key_bounds, lean, mix64, parallelism, small_table, written
 
 MAX_SOURCES = 100_000
 SPAN = 1 << 14  # slots that a task makes at once
@@ -170,7 +170,7 @@ def placed(sized: DataFrame, sources: list[Source]) -> DataFrame:
     source is summed in many tasks.
     """
     spark = sized.sparkSession
-    ranks = spark.createDataFrame([(s.name, s.rank) for s in sources], "__name string, rank int")
+    ranks = small_table(spark, [(s.name, s.rank) for s in sources], pa.schema([("__name", pa.string()), ("rank", pa.int32())]))
     bounds = key_bounds(sized.select("doc_id"), "doc_id", 4 * parallelism(spark))
     ranged = sized.join(ranks, F.col("source").eqNullSafe(F.col("__name"))).drop("__name").withColumn("__range", dealt_bucket(F.col("doc_id"), F.col("h"), bounds))
     sums = ranged.groupBy("rank", "__range").agg(F.sum("size").alias("sum"))
@@ -205,7 +205,7 @@ def mix(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
     sources = sources_of(sized, options)
     at = written(placed(sized, sources), "placed")
     taken = taken_blocks(at, mixture(spark, sources, options), options.block).groupBy("rank", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    facts = spark.createDataFrame([(s.rank, s.size, s.target) for s in sources], "rank int, source_size bigint, target double")
+    facts = small_table(spark, [(s.rank, s.size, s.target) for s in sources], pa.schema([("rank", pa.int32()), ("source_size", pa.int64()), ("target", pa.float64())]))
     named = at.join(facts, "rank")
     full = named.where("size > 0").join(taken, ["rank", "start"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
     return full.unionByName(named.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken")))

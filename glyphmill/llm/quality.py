@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import dealt_table, fresh, lean, table, words_of
+from .common import MEMOS, dealt_table, fresh, lean, small_table, table, words_of
 
 
 @dataclass(frozen=True)
@@ -39,6 +39,7 @@ class QualityOptions:
 
 _SHAPES = [(re.compile(p), r) for p, r in ((r"[A-ZÀ-ÖØ-Þ]+", "X"), (r"[^\W\d_A-ZÀ-ÖØ-ÞX]+", "x"), (r"\d+", "0"), (r"(.)\1+", r"\1"))]
 _MEMO: dict[bytes, tuple[int, int]] = {}
+MEMOS["quality"] = _MEMO.clear
 #: Code points of a word that is a term as it is, and of the pieces of longer ones.
 LONGEST, GRAM = 64, 3
 
@@ -176,7 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, options: QualityOptions = QualityO
     take = [min(len(p), max(half, options.sample - len(q))) for p, q in (pools, pools[::-1])]
     chosen = [r for p, n in zip(pools, take, strict=True) for r in p[:n]]
     spark = docs.sparkSession
-    wanted = spark.createDataFrame([(r["doc_id"], r["label"]) for r in chosen], "__id bigint, __label int")  # at most options.sample rows
+    wanted = small_table(spark, [(r["doc_id"], r["label"]) for r in chosen], pa.schema([("__id", pa.int64()), ("__label", pa.int32())]))  # at most options.sample rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame, options: QualityOptions = QualityO
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.tolist() for t, _ in made], pa.list_(pa.int64())), pa.array([w.tolist() for _, w in made], pa.list_(pa.float64())), batch.column(2)], names=["doc_id", "terms", "weights", "label"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__label")
-    got = rows.mapInArrow(lean(run), "doc_id bigint, terms array<bigint>, weights array<double>, label int").groupBy("doc_id").agg(F.min(F.struct("terms", "weights", "label")).alias("least")).select("doc_id", "least.*").collect()
+    got = rows.mapInArrow(lean(run, "quality"), "doc_id bigint, terms array<bigint>, weights array<double>, label int").groupBy("doc_id").agg(F.min(F.struct("terms", "weights", "label")).alias("least")).select("doc_id", "least.*").collect()
     got.sort(key=lambda r: r["doc_id"])
     return fit([(np.array(r["terms"], np.int64), np.array(r["weights"]), r["label"]) for r in got], options)
 
@@ -202,7 +203,7 @@ def score(docs: DataFrame, model: QualityModel, name: str = "__score", rows: int
                 scores = model.scores([features(t or "", model.options) for t in batch.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(lean(run), ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], f"`{name}` double"]))
+    return docs.mapInArrow(lean(run, "quality"), ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], f"`{name}` double"]))
 
 
 def held_out(doc_id: Column) -> Column:

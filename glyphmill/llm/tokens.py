@@ -180,7 +180,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFram
                 data = [narrowed(x + end, width) for x in encode_all([t or "" for t in batch.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id bigint, ids binary")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lean(run, "pieces"), "doc_id bigint, ids binary")
 
 
 MANIFEST = "bucket int, part int, file string, n_docs bigint, n_ids bigint, n_nulls bigint, low bigint, high bigint"

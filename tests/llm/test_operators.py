@@ -7,11 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.llm import chunks, dedup, fingerprint, html, mixing, packing, quality, rules, tokens, urls, warc
-from glyphmill.llm.common import bucket_of, dealt_bucket, key_bounds, words_of
+from glyphmill.llm.common import bucket_of, dealt_bucket, key_bounds, lean, small_table, words_of
 from glyphmill.llm.queries import oracle_sql, queries
 
 from .fixtures import DOCS, LONG, NEAR, PROSE, ROWS, SF, documents, no_documents, save
@@ -46,6 +47,39 @@ def test_words_are_parted_by_ascii_space_only():
     assert words_of("a\u00a0b c\x1cd\x0be\u2003f") == ["a\u00a0b".encode(), b"c\x1cd", "e\u2003f".encode()]
 
 
+def test_a_worker_remembers_for_one_operator():
+    """Workers serve one operator after the other: what one remembers is not held while another runs."""
+    quality._MEMO.clear()
+    quality.features("one two", quality.QualityOptions())
+    encoder = chunks.encoder(BYTE)
+    encoder.batch(["one two"])
+    assert list(lean(iter, "quality")([])) == [] and len(quality._MEMO) == 2
+    assert chunks.encoder.cache_info().currsize == 0
+    encoder = chunks.encoder(BYTE)
+    list(lean(iter, "pieces")([]))
+    assert chunks.encoder(BYTE) is encoder and not quality._MEMO
+    quality.features("one two", quality.QualityOptions())
+    list(lean(iter)([]))
+    assert not quality._MEMO and chunks.encoder.cache_info().currsize == 0
+
+
+def test_small_tables_need_no_python_workers(spark, monkeypatch):
+    """Lists of rows would pass through Python workers of a second kind, whose daemons stay in the executors."""
+    schema = pa.schema([("name", pa.string()), ("rank", pa.int32()), ("size", pa.int64()), ("target", pa.float64())])
+    rows = [("b", 1, 1 << 40, 0.5), (None, 2, 0, 1.5), ("b", 1, 1 << 40, 0.5)]
+    made = small_table(spark, rows, schema)
+    assert sorted(map(tuple, made.collect()), key=str) == sorted(rows, key=str) and small_table(spark, [], schema).collect() == []
+    assert [f.dataType.simpleString() for f in made.schema] == ["string", "int", "bigint", "double"]
+    assert "Python" not in made._jdf.queryExecution().toRdd().toDebugString()
+    given, create = [], type(spark).createDataFrame
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: given.append(type(data)) or create(self, data, *a, **b))
+    quality.learn(docs, labels)
+    mixing.mix(docs).count()
+    mixing.mixed_documents(docs).count()
+    assert len(given) == 4 and set(given) == {pa.Table}
+
+
 def test_bucket_of_is_ascending(spark):
     import bisect
 
